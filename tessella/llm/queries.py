@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, language_id, licenses, media, mixing, packing, token_counts
+from . import chat, exact_dedup, jaccard_join, language_id, licenses, media, mixing, packing, token_counts
 from .common import conversations, documents
 
 
@@ -15,6 +15,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(rows, language_id.learn(docs)).drop("text")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(conversations(spark, sf_dir))
 
@@ -54,6 +58,7 @@ FROM n
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_chat_format": op4_chat_format,
     "op5_packing": op5_packing,
     "op6_media": op6_media,
