@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_text, local_names, written
+from .common import as_text, checked_join, local_names, written
 
 WEIGHTS = (1, 2, 3)
 STOP = 3
@@ -137,6 +137,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """docs with every row as often as the mix takes it; other columns as they are."""
-    (rid,) = local_names(docs, "rid")
-    copies = mix(docs, **options).where("copies > 0").select(F.col("rid").alias(rid), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth")).drop("nth")
-    return docs.withColumn(rid, F.monotonically_increasing_id()).join(copies, rid).select(*[docs[c] for c in docs.columns])
+    rid, copies, nth = local_names(docs, "rid", "copies", "nth")
+    taken = written(mix(docs, **options).where("copies > 0").select(F.col("rid").alias(rid), F.col("copies").cast("int").alias(copies)), "copies")
+    rows = checked_join(docs.withColumn(rid, F.monotonically_increasing_id()), taken, rid, "inner", 24)
+    return rows.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

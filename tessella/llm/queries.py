@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, jaccard_join, language_id, licenses, media, mixing, packing, token_counts
+from . import chat, exact_dedup, jaccard_join, language_id, licenses, media, mixing, packing, suffix_dedup, token_counts
 from .common import conversations, documents
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     rows = docs.select("doc_id", "text", language_id.held_out(F.col("doc_id")).alias("held_out"))
@@ -57,6 +61,7 @@ FROM n
 """
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_language_id": op2_language_id,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_chat_format": op4_chat_format,
