@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .base import let
+
 #: Below these, a norm and a mask's size count as zero.
 NORM_FLOOR, MASK_FLOOR = 1e-12, 1e-12
 
@@ -28,8 +30,7 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """v at length 1; a (nearly) zero vector stays as it is."""
-    n = norm(v)
-    return F.when(n > NORM_FLOOR, F.transform(v, lambda x: x.cast("double") / n)).otherwise(as_doubles(v))
+    return let(norm(v), lambda n: F.when(n > NORM_FLOOR, F.transform(v, lambda x: x.cast("double") / n)).otherwise(as_doubles(v)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -69,16 +70,15 @@ def _finite(x: Column) -> Column:
 
 def log_softmax(v: Column) -> Column:
     """Shifted by the maximum; zeros if that is not finite."""
-    d, top = as_doubles(v), F.array_max(as_doubles(v))
-    log = F.ln(total(F.transform(d, lambda x: F.exp(x - top))))
-    return F.when(_finite(top), F.transform(d, lambda x: x - top - log)).otherwise(F.transform(d, lambda x: F.lit(0.0)))
+    zeros = F.transform(v, lambda x: F.lit(0.0))
+    log = lambda top: F.ln(total(F.transform(v, lambda x: F.exp(x.cast("double") - top))))
+    shifted = lambda top: let(log(top) + top, lambda s: F.transform(v, lambda x: x.cast("double") - s))
+    return let(F.array_max(as_doubles(v)), lambda top: F.when(_finite(top), shifted(top)).otherwise(zeros))
 
 
 def softmax(v: Column) -> Column:
-    d, top = as_doubles(v), F.array_max(as_doubles(v))
-    e = F.transform(d, lambda x: F.exp(x - top))
-    s = total(e)
-    return F.when(s > 0, F.transform(e, lambda x: x / s)).otherwise(F.transform(d, lambda x: F.lit(0.0)))
+    e = let(F.array_max(as_doubles(v)), lambda top: F.transform(v, lambda x: F.exp(x.cast("double") - top)))
+    return let(F.struct(e.alias("e"), total(e).alias("s")), lambda p: F.when(p["s"] > 0, F.transform(p["e"], lambda x: x / p["s"])).otherwise(F.transform(p["e"], lambda x: F.lit(0.0))))
 
 
 def class_confidence(v: Column, k: Column) -> Column:
