@@ -26,7 +26,7 @@ def _events(spark, d):
 def _calls(spark, d):
     """Each user's events as calls to one provider; every error and every other view is a failure; a day is a second."""
     ts = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 86400.0
-    return _events(spark, d).select(F.col("user_id").alias("key"), F.col("event_id").alias("event"), ts.alias("ts"), ~((F.col("event_type") == "error") | ((F.col("event_type") == "view") & (F.col("event_id") % 2 == 0))).alias("ok"))
+    return _events(spark, d).select(F.col("user_id").alias("key"), F.col("event_id").alias("event"), ts.alias("ts"), (~((F.col("event_type") == "error") | ((F.col("event_type") == "view") & (F.col("event_id") % 2 == 0)))).alias("ok"))
 
 
 def circuit_breaker(spark, d):
