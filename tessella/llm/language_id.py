@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checked_join, written
+
 
 DIM, GRAM = 1024, 3
 #: At most about so many labelled documents a language are learned from, drawn by a hash of the id.
@@ -114,10 +116,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n"))
+    share = F.least(F.lit(1.0), F.lit(float(sample)) / F.count(F.lit(1)))
+    shares = written(known.groupBy(F.col("lang").alias("l")).agg(share.alias("share")), "shares")
     draw = F.pmod(F.xxhash64("i", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = known.join(counts.select(F.col("lang").alias("l"), share.alias("share")), F.col("lang") == F.col("l")).where(draw < F.col("share")).select("lang", "text")
+    drawn = checked_join(known.withColumn("l", F.col("lang")), shares, "l", "inner", 64).where(draw < F.col("share")).select("lang", "text")
 
     def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         space, sums = _space(dim, gram), {}
@@ -125,7 +127,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             v = space.bundle(list(pdf["text"]))
             for lang in pdf["lang"].unique():
                 sums[lang] = sums.get(lang, 0) + v[(pdf["lang"] == lang).to_numpy()].sum(axis=0, dtype=np.float64)
-        yield pd.DataFrame({"lang": list(sums), "v": [x.astype("<f8").tobytes() for x in sums.values()]}, columns=["lang", "v"])
+        yield pd.DataFrame({"lang": list(sums), "v": [x.astype("<f8").tobytes() for x in sums.values()]}, dtype=object)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         # in the order of their bytes, so that runs add up alike
@@ -163,7 +165,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
     @F.pandas_udf("lang_pred string, score double")
     def predict(text: pd.Series) -> pd.DataFrame:
         lang, score = _scored(list(text), langs, matrix, dim, gram)
-        return pd.DataFrame({"lang_pred": lang, "score": score})
+        return pd.DataFrame({"lang_pred": pd.Series(lang, dtype=object), "score": score})
 
     return docs.withColumn("lang_pred", predict(F.col(text_col).cast("string"))).select(*docs.columns, F.col("lang_pred.lang_pred").alias("lang_pred"), F.col("lang_pred.score").alias("score"))
 
