@@ -238,7 +238,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     asked = found.where("key >= 0").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "length", "key", "at")).alias("asked"))
     asked = written(asked.select("doc_id", F.pandas_udf(packed, "binary")("asked").alias("asked")), "asked")
-    fetched = _sized_join(rows, asked, "asked", "inner").select("doc_id", "seg", "text", "asked").mapInArrow(_fetch(bits), "part long, key long, doc long, start long, at long, raw binary")
+    # requests grow with the input: shuffled at every size
+    fetched = rows.join(asked.hint("merge"), "doc_id").select("doc_id", "seg", "text", "asked").mapInArrow(_fetch(bits), "part long, key long, doc long, start long, at long, raw binary")
     more = fetched.groupBy("part").applyInPandas(_resolve, "doc long, start long, length long")
     spans = found.where("key < 0").select("doc", "start", "length").union(more)
     spans = spans.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "length")).alias("spans"))
