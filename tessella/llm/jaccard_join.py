@@ -31,6 +31,8 @@ NUM, DEN = 3, 4
 FREQUENT, FREQUENT_MOST, LEVELS = 3, 2_000_000, 40
 #: Shingles that a task holds before it deals them out; members of a list that meet in one task.
 HELD, MEMBERS = 4_000_000, 2048
+#: Members of many lists that one call works on.
+BUCKET_MEMBERS = 1 << 15
 STEP = 8192
 PART_TOKENS = 1 << 20
 
@@ -132,47 +134,80 @@ def _bitmaps(tokens: np.ndarray, at: np.ndarray) -> list[bytes]:
     return out
 
 
-def _folded(bitmaps: list[bytes]) -> np.ndarray:
-    """Bitmaps folded (by xor) to the narrowest of them, as rows of uint64."""
-    narrow = min(map(len, bitmaps))
-    rows = np.zeros((len(bitmaps), narrow), np.uint8)
-    for i, x in enumerate(bitmaps):
-        rows[i] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, narrow), axis=0)
-    return rows.view(np.uint64)
+class _Bitmaps:
+    """Bitmaps of several widths; folded (by xor) to any width that they have or exceed."""
 
+    def __init__(self, bitmaps: list[bytes]):
+        self.width = np.array([len(x) for x in bitmaps])
+        self.raw, self.at = np.frombuffer(b"".join(bitmaps), np.uint8), np.r_[0, np.cumsum(self.width)][:-1]
+        self.folded: dict[int, np.ndarray] = {}
 
-def _pairs_of_list(everything: bool):
-    """Pairs (a, b) of one list's members that may be similar; (a, a) for members that have one."""
+    def of(self, width: int) -> np.ndarray:
+        if width not in self.folded:
+            out = np.zeros((len(self.width), width), np.uint8)
+            for w in np.unique(self.width[self.width >= width]):
+                rows = np.flatnonzero(self.width == w)
+                out[rows] = np.bitwise_xor.reduce(self.raw[self.at[rows][:, None] + np.arange(w)].reshape(len(rows), -1, width), axis=1)
+            self.folded[width] = out.view(np.uint64)
+        return self.folded[width]
+
+    def hamming(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), np.int64)
+        narrow = np.minimum(self.width[i], self.width[j])
+        for w in np.unique(narrow):
+            at, rows = np.flatnonzero(narrow == w), self.of(int(w))
+            for a in range(0, len(at), 1 << 15):
+                k = at[a:a + (1 << 15)]
+                out[k] = np.bitwise_count(rows[i[k]] ^ rows[j[k]]).sum(axis=1)
+        return out
+
+
+def _near_pairs(lists: np.ndarray, n: np.ndarray, label: np.ndarray | None, bitmaps: _Bitmaps) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(earlier, later, Hamming distance) of members of one list that may be similar.
+
+    Members are ordered by list and size. The k-th pass pairs each member with the one k places
+    on; a pair out of reach by size ends that member's passes.
+    """
+    out, live, k = [(np.zeros(0, np.int64),) * 3], np.arange(len(n) - 1), 1
+    while len(live):
+        live = live[live + k < len(n)]
+        live = live[(lists[live] == lists[live + k]) & (DEN * n[live] >= NUM * n[live + k])]
+        i, j = live, live + k
+        if label is not None:
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+        far = bitmaps.hamming(i, j)
+        ok = far <= most_apart(n[i], n[j])
+        out.append((i[ok], j[ok], far[ok]))
+        k += 1
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _pairs_of_lists(everything: bool):
+    """Pairs (a, b) of the members of a bucket's lists that may be similar, a < b.
+
+    everything: all pairs of different labels. Else each member with its most alike earlier
+    member, and (a, a) for every member that has a pair.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("cid").sort_values(["n", "cid"]).reset_index(drop=True)
-        cid, n = pdf["cid"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
-        label = pdf["label"].to_numpy(np.int64)
-        out = [np.zeros((0, 2), np.int64)]
-        for a in range(0, len(n), 128):
-            b = min(len(n), a + 128)
-            # earlier members whose size is within reach of the last of these
-            low = np.searchsorted(n, -(-NUM * n[a] // DEN))
-            rows = _folded(list(pdf["bitmap"][low:b]))
-            mine = rows[a - low:]
-            far = np.zeros((b - a, b - low), np.int64)
-            for k in range(rows.shape[1]):
-                far += np.bitwise_count(mine[:, k, None] ^ rows[None, :, k])
-            may = (far <= most_apart(n[a:b, None], n[None, low:b])) & (np.arange(low, b)[None] < np.arange(a, b)[:, None])
-            if everything:
-                may &= label[a:b, None] != label[None, low:b]
-                i, j = np.nonzero(may)
-                out.append(np.stack([cid[j + low], cid[i + a]], axis=1))
-                continue
-            some = may.any(axis=1)
-            nearest = np.where(may, far, 1 << 40).argmin(axis=1)
-            i = np.flatnonzero(some)
-            out.append(np.stack([cid[nearest[i] + low], cid[i + a]], axis=1))
-            used = np.unique(np.concatenate([np.flatnonzero(may.any(axis=0)) + low, i + a]))
-            out.append(np.stack([cid[used], cid[used]], axis=1))
-        pairs = np.concatenate(out)
-        pairs.sort(axis=1)
-        return pd.DataFrame(np.unique(pairs, axis=0), columns=["a", "b"])
+        lid, i, j, n, cid, label = (pdf[c].to_numpy(np.int64) for c in ("lid", "i", "j", "n", "cid", "label"))
+        order = np.lexsort((cid, n, j, i, lid))
+        lid, i, j, n, cid, label = (x[order] for x in (lid, i, j, n, cid, label))
+        same = lambda x: x[1:] == x[:-1]
+        lists = np.r_[0, np.cumsum(~(same(lid) & same(i) & same(j)))]
+        new = np.r_[True, ~(same(lists) & same(cid))]
+        lists, n, cid, label, order = (x[new] for x in (lists, n, cid, label, order))
+        bitmaps = _Bitmaps([pdf["bitmap"].iat[k] for k in order])
+        a, b, far = _near_pairs(lists, n, label if everything else None, bitmaps)
+        if not everything and len(a):
+            by = np.lexsort((far, b))
+            a, b = a[by], b[by]
+            used = np.unique(np.concatenate([a, b]))
+            first = np.r_[True, b[1:] != b[:-1]]
+            a, b = np.concatenate([a[first], used]), np.concatenate([b[first], used])
+        pairs = np.unique(np.sort(np.stack([cid[a], cid[b]], axis=1), axis=1), axis=0)
+        return pd.DataFrame(pairs, columns=["a", "b"])
 
     return run
 
@@ -296,7 +331,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = members.select("lid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "n", "bitmap")
     members = written(members, "members")
     by = ["lid", "i", "j"]
-    near = written(members.withColumn("label", F.lit(0).cast("long")).groupBy(*by).applyInPandas(_pairs_of_list(False), "a long, b long").distinct(), "near")
+    buckets = max(4 * shuffle_parts(spark), -(-members.count() // BUCKET_MEMBERS))
+    bucket = F.pmod(F.xxhash64(*by), F.lit(buckets)).alias("bucket")
+    near = written(members.withColumn("label", F.lit(0).cast("long")).groupBy(bucket).applyInPandas(_pairs_of_lists(False), "a long, b long").distinct(), "near")
 
     wanted = written(near.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rep"), "cid").select("cid", "rep").distinct(), "wanted")
 
@@ -313,7 +350,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     label = F.coalesce("label", F.col("cid"))
     labelled = members.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", label)
     open_lists = labelled.groupBy(*by).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(*by)
-    rest = labelled.join(open_lists, by).groupBy(*by).applyInPandas(_pairs_of_list(True), "a long, b long").distinct()
+    rest = labelled.join(open_lists, by).groupBy(bucket).applyInPandas(_pairs_of_lists(True), "a long, b long").distinct()
     more = written(_verified(rest.join(near, ["a", "b"], "left_anti"), sets), "links")
     links = links.union(more).distinct()
     labels = components(links)
