@@ -136,7 +136,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """docs with every row as often as the mix takes it; other columns as they are."""
+    """docs with every row as often as the mix takes it; other columns as they are.
+
+    Rows are found again by their place, so docs has to be a stored table (or another plan that
+    gives its rows in the same order each time); written() makes one.
+    """
     rid, copies, nth = local_names(docs, "rid", "copies", "nth")
     taken = written(mix(docs, **options).where("copies > 0").select(F.col("rid").alias(rid), F.col("copies").cast("int").alias(copies)), "copies")
     rows = checked_join(docs.withColumn(rid, F.monotonically_increasing_id()), taken, rid, "inner", 24)
