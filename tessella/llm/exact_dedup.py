@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, local_names
+from .common import as_text, checked_join, local_names, written
 
 PROBES = 3
 MIN_BITS, MAX_BITS, BLOCK_BITS = 16, 28, 13
@@ -93,8 +93,8 @@ def repeated_plane(hashes: DataFrame) -> tuple[int, np.ndarray]:
     return bits, whole
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of docs, with keep_id, group_size, kept and text_sha256.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """All rows of docs and its columns (or the given ones), with keep_id, group_size, kept and text_sha256.
 
     Texts are equal when identical after each run of ASCII white space became one space; null
     counts as empty. Of equal texts the smallest id stays; null ids come last; of rows that
@@ -102,8 +102,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    docs = docs.select([c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")])
-    rid, norm, may, best = local_names(docs, "rid", "norm", "may", "best")
+    names = [c for c in (docs.columns if columns is None else columns) if c not in ("keep_id", "group_size", "kept", "text_sha256")]
+    rid, norm, may, best, key = local_names(docs, "rid", "norm", "may", "best", "key")
     bits, plane = repeated_plane(docs.select(F.xxhash64(normalised(F.col(text_col))).alias("h")))
     shared = spark.sparkContext.broadcast(plane)
 
@@ -113,14 +113,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         bit = (shared.value[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1
         return pd.Series(bit.all(axis=1))
 
-    rows = docs.withColumn(norm, normalised(F.col(text_col)))
-    rows = rows.withColumn("text_sha256", F.sha2(F.col(norm).cast("binary"), 256)).withColumn(may, may_repeat(F.xxhash64(norm))).withColumn(rid, F.monotonically_increasing_id()).drop(norm)
-    unique = rows.where(~F.col(may)).select(*docs.columns, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    repeated = rows.where(F.col(may))
-    groups = repeated.groupBy("text_sha256").agg(
-        F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(rid).alias("rid"))).alias(best), F.count(F.lit(1)).alias("group_size")
-    )
-    resolved = repeated.join(groups, "text_sha256").select(
-        *docs.columns, F.col(f"{best}.id").alias("keep_id"), "group_size", (F.col(rid) == F.col(f"{best}.rid")).alias("kept"), "text_sha256"
+    rows = docs.select(*names, F.col(id_col).alias(key), normalised(F.col(text_col)).alias(norm))
+    rows = rows.withColumn("text_sha256", F.sha2(F.col(norm).cast("binary"), 256)).withColumn(may, may_repeat(F.xxhash64(norm))).drop(norm)
+    unique = rows.where(~F.col(may)).select(*names, F.col(key).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    # stored, so that a row's number is the same wherever it is read
+    repeated = written(rows.where(F.col(may)).drop(may).withColumn(rid, F.monotonically_increasing_id()), "repeated")
+    first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col(rid).alias("rid")))
+    groups = written(repeated.groupBy("text_sha256").agg(first.alias(best), F.count(F.lit(1)).alias("group_size")), "groups")
+    resolved = checked_join(repeated, groups, "text_sha256", "inner", 128).select(
+        *names, F.col(f"{best}.id").alias("keep_id"), "group_size", (F.col(rid) == F.col(f"{best}.rid")).alias("kept"), "text_sha256"
     )
     return unique.unionByName(resolved)
