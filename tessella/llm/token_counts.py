@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_text
+from .common import as_text, written
 from .tokens import default_vocabulary, encode, encoder
 
 #: Lengths that one window partition of the suffix sums covers.
@@ -41,6 +41,7 @@ def length_table(lengths: DataFrame) -> DataFrame:
     the whole histogram.
     """
     hist = lengths.where("n_tokens is not null").groupBy(F.col("n_tokens").alias("context_limit")).agg(F.count(F.lit(1)).alias("n_docs"))
+    hist = written(hist, "lengths")  # read twice: texts are encoded once
     hist = hist.withColumn("span", F.floor(F.col("context_limit") / SPAN))
     tokens = F.col("context_limit") * F.col("n_docs")
     spans = hist.groupBy("span").agg(F.sum("n_docs").alias("d"), F.sum(tokens).alias("t"))
