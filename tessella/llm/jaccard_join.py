@@ -30,10 +30,10 @@ from .shingles import by_part, mix, pack48, pack_sorted, runs, shingle_sets, unp
 NUM, DEN = 3, 4
 FREQUENT, FREQUENT_MOST, LEVELS = 3, 2_000_000, 40
 #: Shingles that a task holds before it deals them out; members of a list that meet in one task.
-HELD, MEMBERS = 1 << 20, 2048
+HELD, MEMBERS = 1 << 19, 2048
 #: Members of many lists that one call works on.
 BUCKET_MEMBERS = 1 << 15
-STEP = 2048
+STEP = 1024
 PART_TOKENS = 1 << 20
 
 

@@ -77,7 +77,7 @@ class Space:
             self.rows = np.concatenate([self.rows, np.stack([self.bind(k) for k in new])])
         return self.rows[[self.row[k] for k in keys.tolist()]]
 
-    def bundle(self, texts: list[str], step: int = 64) -> np.ndarray:
+    def bundle(self, texts: list[str], step: int = 32) -> np.ndarray:
         """Unit vectors of texts, by rows; zero where a text has no letter."""
         out = np.zeros((len(texts), self.dim), np.float32)
         for a in range(0, len(texts), step):
