@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from tessella.llm import exact_dedup, jaccard_join, language_id, mixing, packing
 from tessella.llm.common import documents, written
 
-#: A text whose profile is less like its nearest language than this is rejected.
-LEAST_SCORE = 0.15
+#: Chance: the cosine of unrelated trigrams with a language has a deviation of DIM**-0.5, whatever
+#: their number. Only texts of ENOUGH different trigrams are rejected for being no nearer than that,
+#: as the cosine of a short text in a language may be as low.
+CHANCE, ENOUGH = 3 / language_id.DIM**0.5, 100
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without letters, or like none, go."""
-    return language_id.accepted(docs, language_id.learn(docs), LEAST_SCORE)
+    """Documents in a learned language; those without letters, or long and like none, go."""
+    return language_id.accepted(docs, language_id.learn(docs), CHANCE, enough=ENOUGH)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -170,15 +170,26 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
     return docs.withColumn("lang_pred", predict(F.col(text_col).cast("string"))).select(*docs.columns, F.col("lang_pred.lang_pred").alias("lang_pred"), F.col("lang_pred.score").alias("score"))
 
 
-def accepted(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float, text_col: str = "text", dim: int = DIM, gram: int = GRAM) -> DataFrame:
-    """The rows of docs, as they are, whose text is in a learned language with a score of least or more."""
+def distinct_grams(text: str, gram: int = GRAM) -> int:
+    """How many different letter n-grams a text has."""
+    c = _letters(text)
+    return len(np.unique(np.lib.stride_tricks.sliding_window_view(c, gram), axis=0)) if len(c) >= gram else 0
+
+
+def accepted(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float, text_col: str = "text", dim: int = DIM, gram: int = GRAM, enough: int = 0) -> DataFrame:
+    """The rows of docs, as they are, whose text is in a learned language with a score of least or more.
+
+    A text of fewer than enough different n-grams has a low cosine in any language: it stays
+    whatever its score, unless it is "und".
+    """
     langs = list(prototypes)
     matrix = np.stack(list(prototypes.values())) if langs else np.zeros((0, dim), np.float32)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang, score = _scored(b.column(at).to_pylist(), langs, matrix, dim, gram)
-            yield b.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score)], pa.bool_()))
+            texts = b.column(at).to_pylist()
+            lang, score = _scored(texts, langs, matrix, dim, gram)
+            yield b.filter(pa.array([x != UNKNOWN and (s >= least or distinct_grams(t, gram) < enough) for t, x, s in zip(texts, lang, score)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

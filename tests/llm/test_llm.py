@@ -463,3 +463,18 @@ def test_pipeline(spark, docs, rows):
     mixed = Counter(r.text for r in seen["mixing"][1].collect())
     assert set(mixed) <= {r.text for r in seen["mixing"][0].collect()} and max(mixed.values()) <= 3
     assert seen["packing"][1].where("start = 0").count() == sum(mixed.values())
+
+
+def test_pipeline_keeps_short_clean_documents(spark):
+    """One to four words have a low cosine in any language; long texts like no language still go."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 8))) for _ in range(400)]
+    learnt = [(i, " ".join(rng.choice(words, 60)), "en") for i in range(120)]
+    short = [(200 + i, t, "en") for i, t in enumerate(["Avec.", "A.", "Gym by wyvern.", "A.\nAll rights reserved.", "Zephyr", "Re."])]
+    other = [(300, "".join(map(chr, rng.integers(0x4E00, 0x9000, 2000))), None), (301, "12 ..", None), (302, None, None)]
+    table = common.written(spark.createDataFrame([*learnt, *short, *other], "doc_id long, text string, lang string"))
+    kept = {r.doc_id for r in pipeline.known_language(spark, table, "").collect()}
+    assert kept == {r[0] for r in [*learnt, *short]}
+    scores = {r.doc_id: r.score for r in language_id.identify(table, language_id.learn(table)).collect()}
+    assert min(scores[r[0]] for r in short) < 0.15
