@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import as_text, written
-from .tokens import default_vocabulary, encode, encoder
+from .tokens import default_vocabulary, encode_whole, encoder
 
 MAX_LEN = 1024
 RANK_ROWS = 100_000
@@ -33,7 +33,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = np.array([*encode(enc, text), 0], "<u4")
+                ids = np.array([*encode_whole(enc, text), 0], "<u4")
                 raw, doc = ids.tobytes(), None if pd.isna(doc) else int(doc)
                 for a in range(0, len(ids), max_len):
                     n = min(max_len, len(ids) - a)

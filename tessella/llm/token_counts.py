@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import as_text, written
-from .tokens import default_vocabulary, encode, encoder
+from .tokens import default_vocabulary, encode_whole, encoder
 
 #: Lengths that one window partition of the suffix sums covers.
 SPAN = 1024
@@ -26,7 +26,7 @@ def encoded_lengths(docs: DataFrame, text_col: str = "text", vocabulary: str | N
     def count(batches):
         enc = encoder(path)
         for pdf in batches:
-            yield pd.DataFrame({"n_tokens": pd.Series([len(encode(enc, t)) + end_of_text for t in pdf["text"]], dtype="int64")})
+            yield pd.DataFrame({"n_tokens": pd.Series([len(encode_whole(enc, t)) + end_of_text for t in pdf["text"]], dtype="int64")})
 
     return docs.select(as_text(F.col(text_col)).alias("text")).mapInPandas(count, "n_tokens long")
 

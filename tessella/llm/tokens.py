@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 
 #: Fixed value: how texts are cut before merging, as the vocabulary's own pre-tokeniser does.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: The added tokens of the vocabulary's tokenizers file, which match in ordinary text.
+ADDED = {"<|endoftext|>": 50256}
+
 
 def default_vocabulary() -> str:
     import public_tokenizers
@@ -30,7 +34,7 @@ SLICE = 1 << 16
 
 
 def encode(enc, text: str) -> list[int]:
-    """Ids of a whole text; special tokens' strings are ordinary text; lone surrogates become '?'."""
+    """Ids of a text between added tokens, whose strings are ordinary text here; lone surrogates become '?'."""
     if len(text) <= SLICE:
         return enc.encode_ordinary(text)
     out, at = [], 0
@@ -42,3 +46,13 @@ def encode(enc, text: str) -> list[int]:
         out += enc.encode_ordinary(text[at:end])
         at = end
     return out
+
+
+def encode_whole(enc, text: str) -> list[int]:
+    """Ids of a whole text as the tokenizers file gives them: an added token's string is its id."""
+    if not any(t in text for t in ADDED):
+        return encode(enc, text)
+    out = []
+    for piece in re.split(f"({'|'.join(map(re.escape, ADDED))})", text):
+        out += [ADDED[piece]] if piece in ADDED else encode(enc, piece)
+    return out

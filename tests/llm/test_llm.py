@@ -478,3 +478,24 @@ def test_pipeline_keeps_short_clean_documents(spark):
     assert kept == {r[0] for r in [*learnt, *short]}
     scores = {r.doc_id: r.score for r in language_id.identify(table, language_id.learn(table)).collect()}
     assert min(scores[r[0]] for r in short) < 0.15
+
+
+def test_added_tokens_are_those_of_the_tokenizers_file(spark, monkeypatch):
+    """Texts that hold <|endoftext|>, by the file as it is: ids, packing's digests and token counts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {x.content: i for i, x in t.get_added_tokens_decoder().items()} == tokens.ADDED
+    end = "<|endoftext|>"
+    texts = [f"one{end}two", f"a {end} b\n\n{end}", end * 3, "<|endoftext|", f"<|endof{end}text|>", f"{'word one ' * 9000}{end}{'tail ' * 20000}", "none", ""]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    enc = tokens.encoder(tokens.default_vocabulary())
+    assert want[0] == [505, 50256, 11545] and [tokens.encode_whole(enc, x) for x in texts] == want
+    monkeypatch.setattr(tokens, "SLICE", 16)
+    assert [tokens.encode_whole(enc, x) for x in texts] == want
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.start): (r.doc_tokens, r.ids_crc32) for r in packing.pack(table).collect()}
+    ids = [[*x, 0] for x in want]
+    assert got == {(i, a): (len(x), zlib.crc32(np.array(x[a:a + 1024], "<u4").tobytes())) for i, x in enumerate(ids) for a in range(0, len(x), 1024)}
+    assert Counter(r.n_tokens for r in token_counts.encoded_lengths(table).collect()) == Counter(map(len, want))
