@@ -9,7 +9,10 @@ distance never exceeds the symmetric difference), expanded to members (distinct
 copies are one member), and pairs that pass are verified on the sets.
 
 Pairs are not all listed: the first round verifies every member with its most alike earlier
-member of a list; the second verifies what else passes and is not yet in one component.
+member of a list; the second verifies what else passes and is not yet in one component. Links
+are then counted, not listed: every two sets of a component whose links are not all found yet
+meet once, in blocks, and each block gives a number a set. That work grows with the square of
+a component, as its links do.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ HELD, MEMBERS = 1 << 19, 2048
 BUCKET_MEMBERS = 1 << 15
 STEP = 1024
 PART_TOKENS = 1 << 20
+#: Sets, and bytes of sets, of a component's block when links are counted; bytes of sets a call; shingles compared at once.
+COUNT_MEMBERS, COUNT_BYTES, COUNT_CALL, COUNT_STEP = 1024, 4 << 20, 8 << 20, 1024
 
 
 def prefix_size(n):
@@ -229,12 +234,81 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.where("a <> b").join(left, "a").join(right, "b").where(similar("x", "y")).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id, n_links) of every row of docs.
+def _shared(sets: list[np.ndarray], p: int) -> np.ndarray:
+    """How many shingles each of the first p sets shares with each of the others (of all, if p is all)."""
+    n = np.array([len(x) for x in sets])
+    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    doc = np.repeat(np.arange(len(sets)), n)
+    column = np.cumsum(times > 1) - 1
+    doc, token = doc[times[token] > 1], column[token[times[token] > 1]]
+    order = np.argsort(token, kind="stable")
+    doc, token = doc[order], token[order]
+    rest = 0 if p == len(sets) else p
+    out = np.zeros((p, len(sets) - rest), np.float32)
+    for c in range(0, int(token[-1]) + 1 if len(token) else 0, COUNT_STEP):
+        a, b = np.searchsorted(token, [c, c + COUNT_STEP])
+        has = np.zeros((len(sets), COUNT_STEP), np.float32)
+        has[doc[a:b], token[a:b] - c] = 1
+        out += has[:p] @ has[rest:].T
+    return out.astype(np.int64)
+
+
+def _count_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(cid, n_links): links of each set within its block, or between two blocks, of one component."""
+    cids, counts = [], []
+    for (_, i, j), part in pdf.groupby(["label", "i", "j"], sort=False):
+        part = part.sort_values("block", kind="stable")
+        sets = [unpack48(x) for x in part["tokens"]]
+        n = np.array([len(x) for x in sets])
+        p = len(sets) if i == j else int((part["block"] == i).sum())
+        if not p or (i != j and p == len(sets)):
+            continue  # one of the two blocks is empty
+        rest = 0 if i == j else p
+        both = _shared(sets, p)
+        linked = DEN * both >= NUM * (n[:p, None] + n[None, rest:] - both)
+        if i == j:
+            np.fill_diagonal(linked, False)
+            counts.append(linked.sum(axis=1))
+        else:
+            counts.append(np.concatenate([linked.sum(axis=1), linked.sum(axis=0)]))
+        cids.append(part["cid"].to_numpy(np.int64))
+    if not cids:
+        return pd.DataFrame({"cid": np.zeros(0, np.int64), "n_links": np.zeros(0, np.int64)})
+    cid, at = np.unique(np.concatenate(cids), return_inverse=True)
+    return pd.DataFrame({"cid": cid, "n_links": np.bincount(at, np.concatenate(counts), len(cid)).astype(np.int64)})
+
+
+def _all_links(links: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """(cid, n_links) of every linked set, from the links found (a, b), components (node, label) and sets.
+
+    Two sets that are similar are in one component; a component of k sets whose k(k-1)/2 links
+    were all found is done, the sets of any other are compared in blocks, every two blocks once.
+    """
+    spark = links.sparkSession
+    found = links.join(labels, links["a"] == labels["node"]).groupBy("label").agg(F.count(F.lit(1)).alias("m"))
+    size = labels.groupBy("label").agg(F.count(F.lit(1)).alias("k"))
+    todo = size.join(found, "label").where("2 * m < k * (k - 1)").select("label")
+    ends = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
+    todo = labels.join(todo, "label").select(F.col("node").alias("cid"), "label")
+    members = written(todo.join(sets, "cid"), "open")
+    bytes_of = F.sum(F.octet_length("tokens").cast("long"))
+    blocks = members.groupBy("label").agg(F.ceil(F.greatest(F.count(F.lit(1)) / COUNT_MEMBERS, bytes_of / COUNT_BYTES)).alias("blocks"), bytes_of.alias("bytes"))
+    blocks = written(blocks, "blocks")
+    volume = blocks.agg(F.sum(F.col("bytes") * F.col("blocks"))).first()[0] or 0
+    members = members.join(blocks.drop("bytes"), "label").withColumn("block", F.pmod("cid", "blocks"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    members = members.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "tokens")
+    buckets = max(4 * shuffle_parts(spark), -(-volume // COUNT_CALL))
+    bucket = F.pmod(F.xxhash64("label", "i", "j"), F.lit(buckets)).alias("bucket")
+    counted = members.groupBy(bucket).applyInPandas(_count_links, "cid long, n_links long").groupBy("cid").agg(F.sum("n_links").alias("n_links"))
+    return ends.join(todo, "cid", "left_anti").unionByName(counted)
 
-    component_id is the smallest doc_id that links reach, n_links the verified links of the
-    row's class (equal sets are one class; links between classes that the first round already
-    joined are not all counted). Null, empty and blank texts have 0 shingles and are linked with
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, count: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, class_id[, n_links]) of every row of docs.
+
+    component_id is the smallest doc_id that links reach; n_links, if count, the number of all
+    other classes that are similar to the row's class (equal sets are one class). Null, empty and blank texts have 0 shingles and are linked with
     nothing: their component is their own doc_id. Rows with a null doc_id take part, and have a
     null component if all of its ids are null; repeated rows are members of one class; an empty
     table gives an empty result; other columns are ignored.
@@ -352,19 +426,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     open_lists = labelled.groupBy(*by).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(*by)
     rest = labelled.join(open_lists, by).groupBy(bucket).applyInPandas(_pairs_of_lists(True), "a long, b long").distinct()
     more = written(_verified(rest.join(near, ["a", "b"], "left_anti"), sets), "links")
-    links = links.union(more).distinct()
+    links = written(links.union(more).distinct(), "links")
     labels = components(links)
-    ends = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
-    reps = classes.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").join(ends, "cid", "left").select("cid", "rep", F.coalesce("label", F.col("cid")).alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    reps = classes.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").select("cid", "rep", F.coalesce("label", F.col("cid")).alias("label"))
     least = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = written(reps.join(least, "label").select("cid", "component_id", "n_links"), "components")
-    out = checked_join(rows.select("doc_id", "n", "cid"), of_class, "cid", "left", 48)
+    of_class = reps.join(least, "label").select("cid", "component_id")
+    if count:
+        links_of = _all_links(links, written(labels, "labels"), sets)
+        of_class = of_class.join(links_of, "cid", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+    out = checked_join(rows.select("doc_id", "n", "cid"), written(of_class, "components"), "cid", "left", 48)
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("cid").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    n_links = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] * count
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("cid").alias("class_id"), *n_links)
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
     """The rows of docs, as they are, that are the smallest id of their component (or have no id)."""
-    joined = jaccard_components(docs, id_col, text_col, size)
+    joined = jaccard_components(docs, id_col, text_col, size, count=False)
     gone = written(joined.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
     return checked_join(docs, gone, id_col, "left_anti", 24)

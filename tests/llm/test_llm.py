@@ -499,3 +499,28 @@ def test_added_tokens_are_those_of_the_tokenizers_file(spark, monkeypatch):
     ids = [[*x, 0] for x in want]
     assert got == {(i, a): (len(x), zlib.crc32(np.array(x[a:a + 1024], "<u4").tobytes())) for i, x in enumerate(ids) for a in range(0, len(x), 1024)}
     assert Counter(r.n_tokens for r in token_counts.encoded_lengths(table).collect()) == Counter(map(len, want))
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_jaccard_counts_every_link(spark, docs, rows, monkeypatch, block):
+    """A large group of near copies, chains around the threshold and the odd rows: links of every class."""
+    import random
+
+    monkeypatch.setattr(jaccard_join, "COUNT_MEMBERS", block)
+    monkeypatch.setattr(jaccard_join, "COUNT_STEP", 64)
+    r = random.Random(5)
+    base, more = [f"w{k}" for k in range(60)], []
+    for i in range(120):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            w[r.randrange(60)] = f"e{r.randrange(30)}"
+        more.append((1000 + i, " ".join(w[:r.choice([60, 60, 50])])))
+    table = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    every = [(x[0], shingle_set(x[1])) for x in [*rows, *more]]
+    similar = lambda a, b: a != b and 4 * len(a & b) >= 3 * len(a | b)
+    classes = {s for d, s in every if s}
+    want = Counter((d, sum(similar(s, x) for x in classes) if s else 0) for d, s in every)
+    got = jaccard_join.jaccard_components(table).collect()
+    known = {x[0] for x in rows} - {None}
+    assert Counter((x.doc_id, x.n_links) for x in got if x.doc_id is not None) == Counter({k: v for k, v in want.items() if k[0] is not None})
+    assert max(x.n_links for x in got) > 30 and known < {x.doc_id for x in got}
