@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, checked_join, shuffle_parts, written
+from .common import as_text, checked_join, local_names, shuffle_parts, written
 from .graph import components
 from .shingles import by_part, mix, pack48, pack_sorted, runs, shingle_sets, unpack48, unpack_sorted
 
@@ -441,7 +441,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
-    """The rows of docs, as they are, that are the smallest id of their component (or have no id)."""
-    joined = jaccard_components(docs, id_col, text_col, size, count=False)
-    gone = written(joined.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
-    return checked_join(docs, gone, id_col, "left_anti", 24)
+    """The rows of docs, as they are, that are the smallest id of their component (or have no id).
+
+    Rows are told apart by their id and class: of several classes of a component that have its
+    smallest id, one stays. Texts are shingled again only where an id has rows of both kinds.
+    """
+    joined = jaccard_components(docs, id_col, text_col, size, count=False).where("doc_id is not null").groupBy("doc_id", "class_id")
+    joined = written(joined.agg(F.first("component_id").alias("component_id"), F.max("n_shingles").alias("n")), "joined")
+    least = joined.where("n > 0 and doc_id = component_id").groupBy("doc_id").agg(F.min("class_id").alias("least"))
+    stays = F.coalesce((F.col("doc_id") == F.col("component_id")) & ((F.col("n") == 0) | (F.col("class_id") == F.col("least"))), F.lit(False))
+    rows = joined.join(least, "doc_id", "left").withColumn("stays", stays)
+    ids = rows.groupBy("doc_id").agg(F.min("stays").alias("all"), F.max("stays").alias("any"))
+    gone = written(ids.where("not all").select(F.col("doc_id").alias(id_col), "any"), "gone")
+    out = checked_join(docs, gone.select(id_col), id_col, "left_anti", 24)
+    both = gone.where("any").select(id_col)
+    if both.isEmpty():
+        return out
+
+    @F.pandas_udf("long")
+    def class_of(text: pd.Series) -> pd.Series:
+        found = [_class_ids(*shingle_sets(pa.array(text[a:a + STEP], pa.string()), size)).view(np.int64) for a in range(0, len(text), STEP)]
+        return pd.Series(np.concatenate(found) if found else np.zeros(0, np.int64))
+
+    (name,) = local_names(docs, "class_id")
+    kept = written(rows.where("stays").select(F.col("doc_id").alias(id_col), F.col("class_id").alias(name)).join(both, id_col, "left_semi"), "kept")
+    mixed = checked_join(docs, both, id_col, "left_semi", 24).withColumn(name, class_of(as_text(F.col(text_col))))
+    return out.unionByName(checked_join(mixed, kept, [id_col, name], "left_semi", 32).select(*docs.columns))

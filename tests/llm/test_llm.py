@@ -524,3 +524,17 @@ def test_jaccard_counts_every_link(spark, docs, rows, monkeypatch, block):
     known = {x[0] for x in rows} - {None}
     assert Counter((x.doc_id, x.n_links) for x in got if x.doc_id is not None) == Counter({k: v for k, v in want.items() if k[0] is not None})
     assert max(x.n_links for x in got) > 30 and known < {x.doc_id for x in got}
+
+
+def test_representatives_of_rows_that_share_an_id(spark):
+    """A clean row stays though another row of its id goes; of near copies with one smallest id one stays."""
+    w = [f"w{k}" for k in range(60)]
+    near = lambda k, at=30: " ".join([*w[:at], f"e{k}", *w[at + 1:]])
+    other = [" ".join(f"{c}{k}" for k in range(60)) for c in "xyz"]
+    rows = [(1, near(0)), (5, near(1)), (5, other[0]), (5, ""), (2, other[1]), (2, other[1] + " tail"), (2, None), (7, other[2]), (7, other[2]), (None, near(2))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(map(tuple, jaccard_join.representatives(table).collect()))
+    one = [x for x in got if x[0] == 2 and x[1]]
+    assert len(one) == 1 and one[0] in rows and got[one[0]] == 1
+    del got[one[0]]
+    assert got == Counter([(1, near(0)), (5, other[0]), (5, ""), (2, None), (7, other[2]), (7, other[2]), (None, near(2))])
