@@ -212,7 +212,8 @@ def read_index(avi: bytes) -> tuple[np.ndarray, np.ndarray, int]:
 
 def shots(frames: np.ndarray) -> list[tuple[int, int]]:
     """[(first frame, frame after the last)]: a cut where histograms differ by FLOOR samples at
-    least and by more than FACTOR times the mean difference of the last MEMORY frames."""
+    least and by more than FACTOR times the mean difference of the last MEMORY frames (the first
+    transition has none before it, and FLOOR alone decides)."""
     n = len(frames)
     if not n:
         return []
@@ -221,7 +222,7 @@ def shots(frames: np.ndarray) -> list[tuple[int, int]]:
     total = np.r_[0, np.cumsum(d)]
     i = np.arange(len(d))
     low = np.maximum(0, i - MEMORY)
-    cut = (d >= FLOOR) & (d * (i - low) > FACTOR * (total[i] - total[low]))
+    cut = (d >= FLOOR) & ((i == 0) | (d * (i - low) > FACTOR * (total[i] - total[low])))
     edges = [0, *(np.flatnonzero(cut) + 1).tolist(), n]
     return list(zip(edges[:-1], edges[1:]))
 

@@ -538,3 +538,10 @@ def test_representatives_of_rows_that_share_an_id(spark):
     assert len(one) == 1 and one[0] in rows and got[one[0]] == 1
     del got[one[0]]
     assert got == Counter([(1, near(0)), (5, other[0]), (5, ""), (2, None), (7, other[2]), (7, other[2]), (None, near(2))])
+
+
+def test_a_shot_may_end_after_the_first_frame():
+    a, b = np.zeros((1, 192), np.uint8), np.full((1, 192), 255, np.uint8)
+    assert media.shots(np.concatenate([a, b])) == [(0, 1), (1, 2)] and media.shots(np.concatenate([a, b, b, b])) == [(0, 1), (1, 4)]
+    assert media.shots(np.concatenate([a, a, b, b])) == [(0, 2), (2, 4)] and media.shots(np.concatenate([a, a])) == [(0, 2)]
+    assert [c["frames"] for c in media.stored("a" * 192 + "\x01" * 192)["clips"]] == [1, 1]
