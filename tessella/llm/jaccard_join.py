@@ -415,8 +415,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for _, tokens, at in _sets(batches, size):
             yield pa.RecordBatch.from_arrays([pa.array(_class_ids(tokens, at).view(np.int64)), pa.array([pack48(tokens[i:j]) for i, j in zip(at[:-1], at[1:])], pa.binary())], ["cid", "tokens"])
 
-    ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
+    ids = wanted.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
     sets = checked_join(texts, ids, "doc_id", "left_semi", 24).select("text").mapInArrow(take, "cid long, tokens binary")
+    without = wanted.where("rep is null").select("cid")
+    if not without.isEmpty():  # classes that no id finds
+        more = texts.where("doc_id is null").select("text").mapInArrow(take, "cid long, tokens binary")
+        sets = sets.unionByName(checked_join(more, without, "cid", "left_semi", 24))
     sets = written(sets.dropDuplicates(["cid"]), "tokens")
     links = written(_verified(near, sets), "links")
     labels = components(links)

@@ -545,3 +545,12 @@ def test_a_shot_may_end_after_the_first_frame():
     assert media.shots(np.concatenate([a, b])) == [(0, 1), (1, 2)] and media.shots(np.concatenate([a, b, b, b])) == [(0, 1), (1, 4)]
     assert media.shots(np.concatenate([a, a, b, b])) == [(0, 2), (2, 4)] and media.shots(np.concatenate([a, a])) == [(0, 2)]
     assert [c["frames"] for c in media.stored("a" * 192 + "\x01" * 192)["clips"]] == [1, 1]
+
+
+def test_jaccard_links_through_a_text_without_an_id(spark):
+    w = [f"w{k}" for k in range(60)]
+    cut = lambda a, b: " ".join(w[a:b])
+    rows = [(1, cut(0, 50)), (None, cut(5, 55)), (2, cut(10, 60)), (None, "alone " + " ".join(f"z{k}" for k in range(20)))]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((key(x[:3]) for x in got)) == sorted(map(key, jaccard_brute(rows)))
+    assert {x.component_id for x in got if x.doc_id} == {1} and max(x.n_links for x in got) == 2
