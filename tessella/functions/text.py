@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import let
+from .base import let, places_below, running_sums
 
 BLANK = r"(?U)\s"
 #: Non-blank characters that a full page of text has.
@@ -48,27 +48,32 @@ def is_usable(t: Column) -> Column:
 
 
 def repetition_ratio(t: Column, n: int = 3) -> Column:
-    """1 - distinct / all word n-grams; 0 with fewer than n words."""
+    """1 - distinct / all word n-grams; 0 with fewer than n words.
+
+    An n-gram is its words with one blank between them (no word has one): strings are told apart
+    by hashing, structs one by one.
+    """
     if n == 0:
         return F.lit(0.0)
-    # n shifted copies side by side: the last n - 1 rows are no whole n-grams
-    grams = lambda w: F.slice(F.arrays_zip(*[F.slice(w, k + 1, F.size(w)).alias(str(k)) for k in range(n)]), F.lit(1), F.size(w) - (n - 1))
+
+    def grams(w: Column) -> Column:
+        out = w
+        for k in range(1, n):
+            out = F.zip_with(out, F.slice(w, k + 1, F.size(w)), lambda x, y: F.concat(x, F.lit(" "), y))
+        return F.slice(out, F.lit(1), F.size(w) - (n - 1))
+
     return let(words(t), lambda w: F.when(F.size(w) >= n, 1.0 - F.size(F.array_distinct(grams(w))) / (F.size(w) - (n - 1))).otherwise(0.0))
 
 
 def paragraphs(t: Column) -> Column:
     """(offset in UTF-8 bytes, text) of the parts between blank lines that are not blank."""
-    parts = F.split(t, "\n\n", -1)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<offset:bigint,text:string>>").alias("out"))
-    found = F.aggregate(
-        parts, start,
-        lambda s, p: F.struct(
-            (s["at"] + F.octet_length(p) + 2).alias("at"),
-            F.when(F.length(visible(p)) > 0, F.array_append(s["out"], F.struct(s["at"].alias("offset"), p.alias("text")))).otherwise(s["out"]).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    return found
+
+    def placed(parts: Column) -> Column:
+        at = running_sums(F.transform(parts, lambda p: F.octet_length(p).cast("long") + 2))
+        both = F.zip_with(at, parts, lambda a, p: F.struct(a.alias("offset"), p.alias("text")))
+        return F.filter(both, lambda x: x["text"].rlike(r"(?U)\S"))
+
+    return let(F.split(t, "\n\n", -1), placed)
 
 
 def trimmed_paragraphs(t: Column) -> Column:
@@ -95,8 +100,17 @@ def approx_equal(a: Column, b: Column) -> Column:
 
 
 def unmatched_numbers(generated: Column, known: Column) -> Column:
-    """Numbers of one text that the other does not have."""
-    return let(numbers(known), lambda ks: F.filter(numbers(generated), lambda g: ~F.exists(ks, lambda k: approx_equal(k, g))))
+    """Numbers of one text that the other does not have.
+
+    If any known number is near enough, the nearest one below or above is.
+    """
+
+    def missing(v: Column) -> Column:
+        near = lambda x, i: F.coalesce(approx_equal(F.get(v["k"], i), x), F.lit(False))
+        with_place = F.zip_with(v["g"], places_below(v["k"], v["g"]), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+        return F.transform(F.filter(with_place, lambda p: ~near(p["x"], p["i"]) & ~((p["i"] > 0) & near(p["x"], F.greatest(p["i"] - 1, F.lit(0))))), lambda p: p["x"])
+
+    return let(F.struct(numbers(generated).alias("g"), F.array_sort(numbers(known)).alias("k")), missing)
 
 
 def divergence(generated: Column, known: Column) -> Column:
