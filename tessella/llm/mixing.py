@@ -35,9 +35,15 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, stop: float = STOP) -> Dat
     weight; one that reaches stop times its source's words is fixed there, and what is over is
     shared anew, until none is above. Only sums go to the driver.
     """
-    by = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(by) - 1) % len(weights) + 1).cast("int"))
-    table = written(sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("weight", w), "sources")
+    sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).sort(F.col("source").isNull(), "source")
+    # ranks in two steps, as sources may be many: within a range of them, then ranges by their number
+    ranged = written(sums.withColumn("range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("range").orderBy(F.col("source").isNull(), "source")
+    rank = F.row_number().over(within) - 1 + F.col("before")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (rank % len(weights) + 1).cast("int"))
+    table = written(ranged.join(counts, "range").withColumn("weight", w).drop("range", "before"), "sources")
     total = table.agg(F.sum("source_size")).first()[0] or 0
     level, fixed = 0.0, -1
     while True:
@@ -63,13 +69,13 @@ def _trade(last: bool, seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["source", "key", "size", "rid"], na_position="last", kind="stable").reset_index(drop=True)
         size, copies, part = pdf["size"].to_numpy(np.float64), pdf["copies"].to_numpy(np.int64).copy(), pdf["part"].to_numpy(np.float64).copy()
-        draw = _random(pdf["key"].to_numpy(), np.full(len(pdf), seed, np.int64))
+        draw, again = (_random(pdf["key"].to_numpy(), np.full(len(pdf), x, np.int64)) for x in (seed, seed + (1 << 40)))
         code = pdf["code"].to_numpy()
         held, eps = -1, 1e-9
         for i in range(len(pdf)):
             if held >= 0 and code[held] != code[i]:
                 if last:
-                    copies[held] += draw[held] < part[held]
+                    copies[held] += again[held] < part[held]
                     part[held] = 0
                 held = -1
             p = part[i]
@@ -91,7 +97,7 @@ def _trade(last: bool, seed: int):
                     part[j] = 0
             held = held if part[held] else (i if part[i] else -1)
         if last and held >= 0:
-            copies[held] += draw[held] < part[held]
+            copies[held] += again[held] < part[held]
             part[held] = 0
         return pdf.assign(copies=copies, part=part, open=part > 0)[["rid", "key", "id", "source", "code", "size", "source_size", "target", "copies", "part", "open"]]
 
@@ -101,10 +107,12 @@ def _trade(last: bool, seed: int):
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, stop: float = STOP, seed: int = 17) -> DataFrame:
     """(rid, id, source, size, source_size, target, copies) of every row of docs.
 
-    rid is the row's monotonically_increasing_id in docs. Sizes are words; null and empty texts
-    have 0 and get no copies. Rows are dealt to buckets by a hash of id and size, and ordered by
-    it there, so that runs agree; null ids, repeated rows and null sources (a source of its own,
-    last) are rows like others. An empty table gives an empty result.
+    rid is the row's monotonically_increasing_id in docs. Sizes are words of the whole text,
+    however long; null and empty texts have 0 and get no copies. Rows are dealt to buckets by a
+    hash of id and size, and ordered by it there, so that runs agree; ties are rows of one id and
+    size, which are alike, and which of them gets a copy more does not matter. Null ids, repeated
+    rows and null sources (a source of its own, last) are rows like others. An empty table gives
+    an empty result; other columns are ignored, whatever their names.
     """
     base = docs.select(
         F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")
