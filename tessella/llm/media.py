@@ -6,9 +6,12 @@ lost. The Huffman tables give a DC difference of category s a code of 9 - s bits
 and difference bits take 9 bits together and a block with its end-of-block bit takes 10; whole
 batches of frames are coded and decoded at once. Frames stand in a RIFF AVI with an idx1 index.
 
-Reading parses the RIFF tree, takes frames by the index, and decodes them. Frames whose tables
-are like ours go the batch way; any other grey baseline DC and AC stream is decoded bit by bit.
-Shots end where the grey histogram changes more than it did over the last frames.
+Reading parses the RIFF tree, takes frames by the index, and decodes them: baseline JPEG with
+any Huffman and quantisation tables, DC and AC coefficients, inverse DCT, one to four components
+with any sampling, restart markers. Frames whose header is ours, in which all codes take ten
+bits, are decoded many at once. Shots end where the grey histogram changes more than it did over
+the last frames. Frames are coded, written, read back and hashed in blocks of BLOCK, so that
+only the media bytes of a text are held as a whole.
 """
 
 from __future__ import annotations
@@ -24,11 +27,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 COLS, ROWS = 16, 12
 FRAME = COLS * ROWS  # samples a frame
 FPS = 25
 BITS = 10  # of a coded block
 CODED = FRAME * BITS // 8
+BLOCK = 2048  # frames that are coded at once
 
 #: Grey bins of a histogram; frames, samples and factor of the adaptive cut.
 BINS, MEMORY, FLOOR, FACTOR = 16, 8, 48, 2
@@ -100,9 +106,50 @@ def decode_frames(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np
     return (np.cumsum(diff, axis=1) + 128).astype(np.uint8)
 
 
-def decode_grey(jpeg: bytes) -> np.ndarray:
-    """Block means (row by row) of any grey baseline JPEG frame: the general, slow way."""
-    at, tables, quant, shape = 2, {}, {}, None
+#: The zigzag order of a block's coefficients, by rows.
+ZIGZAG = (
+    0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28,
+    35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63,
+)
+
+
+@functools.lru_cache(maxsize=1)
+def _cosines() -> np.ndarray:
+    """basis[x, u] of the inverse 8-point DCT."""
+    x, u = np.arange(8)[:, None], np.arange(8)[None, :]
+    return np.where(u == 0, np.sqrt(0.125), 0.5) * np.cos((2 * x + 1) * u * np.pi / 16)
+
+
+class _Bits:
+    """Huffman symbols and numbers of one restart interval."""
+
+    def __init__(self, raw: bytes):
+        self.bits = np.unpackbits(np.frombuffer(raw.replace(b"\xff\x00", b"\xff"), np.uint8)).tolist()
+        self.at = 0
+
+    def symbol(self, table: dict) -> int:
+        code = 0
+        for n in range(1, 17):
+            code = code * 2 + self.bits[self.at]
+            self.at += 1
+            if (n, code) in table:
+                return table[n, code]
+        raise ValueError("no such code")
+
+    def number(self, size: int) -> int:
+        """A signed number of size bits."""
+        v = 0
+        for _ in range(size):
+            v = v * 2 + self.bits[self.at]
+            self.at += 1
+        return v if not size or v >> (size - 1) else v - (1 << size) + 1
+
+
+def _tables(jpeg: bytes) -> tuple[dict, dict, dict, int]:
+    """(Huffman tables, quantisation tables, frame, start of the scan's data) of a baseline JPEG."""
+    if jpeg[:2] != b"\xff\xd8":
+        raise ValueError("no JPEG")
+    at, huffman, quant, frame = 2, {}, {}, {"restart": 0}
     while True:
         marker, size = jpeg[at + 1], int.from_bytes(jpeg[at + 2:at + 4], "big")
         body, at = jpeg[at + 4:at + 2 + size], at + 2 + size
@@ -119,44 +166,75 @@ def decode_grey(jpeg: bytes) -> np.ndarray:
                         table[bits, code] = next(symbols)
                         code += 1
                     code <<= 1
-                tables[body[0]] = table
+                huffman[body[0]] = table
                 body = body[17 + sum(counts):]
+        elif marker == 0xDD:
+            frame["restart"] = int.from_bytes(body[:2], "big")
         elif marker in (0xC0, 0xC1):
-            _, height, width, comps = struct.unpack(">BHHB", body[:6])
-            if comps != 1:
-                raise ValueError("only grey frames are read")
-            shape = (-(-height // 8), -(-width // 8), body[8])
+            _, height, width, n = struct.unpack(">BHHB", body[:6])
+            parts = [body[6 + 3 * k:9 + 3 * k] for k in range(n)]
+            frame.update(height=height, width=width, parts={p[0]: (p[1] >> 4, p[1] & 15, p[2]) for p in parts})
+        elif 0xC2 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            raise ValueError("no baseline JPEG")
         elif marker == 0xDA:
-            dc, ac = tables[body[2] >> 4], tables[0x10 | (body[2] & 15)]
-            break
-    bits = np.unpackbits(np.frombuffer(jpeg[at:jpeg.rindex(b"\xff\xd9")].replace(b"\xff\x00", b"\xff"), np.uint8)).tolist()
-    pos = 0
+            frame["scan"] = [(body[1 + 2 * k], body[2 + 2 * k] >> 4, 0x10 | (body[2 + 2 * k] & 15)) for k in range(body[0])]
+            return huffman, quant, frame, at
+
+
+def decode_jpeg(jpeg: bytes) -> list[np.ndarray]:
+    """Planes (one a component, in the frame's size) of a baseline JPEG with one interleaved scan."""
+    huffman, quant, frame, at = _tables(jpeg)
+    end = jpeg.rindex(b"\xff\xd9")
+    pieces, start, i = [], at, at
+    while (i := jpeg.find(b"\xff", i, end)) >= 0:  # restart markers part the data
+        if 0xD0 <= jpeg[i + 1] <= 0xD7:
+            pieces.append(jpeg[start:i])
+            start = i + 2
+        i += 2
+    pieces.append(jpeg[start:end])
+    parts, height, width = frame["parts"], frame["height"], frame["width"]
+    most_h, most_v = max(p[0] for p in parts.values()), max(p[1] for p in parts.values())
+    if len(parts) == 1:  # a single component is not interleaved: its blocks are units
+        (name, (_, _, q)), = parts.items()
+        parts, most_h, most_v = {name: (1, 1, q)}, 1, 1
+    across, down = -(-width // (8 * most_h)), -(-height // (8 * most_v))
+    coded = {name: np.zeros((down * v, across * h, 64)) for name, (h, v, _) in parts.items()}
+    units, each = across * down, frame["restart"] or across * down
+    for k, raw in enumerate(pieces):
+        bits, last = _Bits(raw), dict.fromkeys(parts, 0)
+        for unit in range(k * each, min(units, (k + 1) * each)):
+            row, column = divmod(unit, across)
+            for name, dc, ac in frame["scan"]:
+                h, v, _ = parts[name]
+                for y in range(v):
+                    for x in range(h):
+                        block = coded[name][row * v + y, column * h + x]
+                        last[name] += bits.number(bits.symbol(huffman[dc]))
+                        block[0], i = last[name], 1
+                        while i < 64:
+                            rs = bits.symbol(huffman[ac])
+                            if rs & 15 == 0 and rs != 0xF0:
+                                break
+                            i += rs >> 4
+                            block[ZIGZAG[i]] = bits.number(rs & 15)
+                            i += 1
+    planes, basis = [], _cosines()
+    for name, (h, v, q) in parts.items():
+        scale = np.zeros(64)
+        scale[list(ZIGZAG)] = quant[q]
+        blocks = (coded[name] * scale).reshape(*coded[name].shape[:2], 8, 8)
+        samples = np.clip(np.rint(basis @ blocks @ basis.T + 128), 0, 255).astype(np.uint8)
+        plane = samples.transpose(0, 2, 1, 3).reshape(samples.shape[0] * 8, -1)
+        planes.append(plane.repeat(most_v // v, axis=0).repeat(most_h // h, axis=1)[:height, :width])
+    return planes
 
-    def symbol(table):
-        nonlocal pos
-        code = 0
-        for n in range(1, 17):
-            code = code * 2 + bits[pos]
-            pos += 1
-            if (n, code) in table:
-                return table[n, code]
-        raise ValueError("no such code")
 
-    out, last = [], 0
-    for _ in range(shape[0] * shape[1]):
-        s = symbol(dc)
-        extra = int("".join(map(str, bits[pos:pos + s])) or "0", 2)
-        pos += s
-        last += extra if not s or extra >> (s - 1) else extra - (1 << s) + 1
-        k = 1
-        while k < 64:
-            rs = symbol(ac)
-            if rs == 0:
-                break
-            pos += rs & 15
-            k += (rs >> 4) + 1
-        out.append(min(255, max(0, round(last * quant[shape[2]][0] / 8) + 128)))
-    return np.array(out, np.uint8)
+def decode_grey(jpeg: bytes) -> np.ndarray:
+    """Block means (row by row) of the first plane of any baseline JPEG frame: the general, slow way."""
+    plane = decode_jpeg(jpeg)[0].astype(np.float64)
+    high, wide = (-(-n // 8) for n in plane.shape)
+    plane = np.pad(plane, ((0, high * 8 - plane.shape[0]), (0, wide * 8 - plane.shape[1])), mode="edge")
+    return np.rint(plane.reshape(high, 8, wide, 8).mean(axis=(1, 3))).astype(np.uint8).ravel()
 
 
 def _list(kind: bytes, body: bytes) -> bytes:
@@ -167,31 +245,60 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return kind + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
 
 
+class AviWriter:
+    """A RIFF AVI of MJPG frames, grown block by block; its heads are filled in at the end."""
+
+    def __init__(self):
+        self.out, self.index, self.most = bytearray(self._head(0, 0)), [], 0
+        self.movi = len(self.out) - 4
+
+    def _head(self, n: int, movi: int, index: int = 0) -> bytes:
+        """All before the first frame, for n frames in a movi list of that size."""
+        w, h = COLS * 8, ROWS * 8
+        most = self.most if n else 0
+        avih = struct.pack("<14I", 1_000_000 // FPS, min(most * FPS, 0xFFFFFFFF), 0, 0x10, n, 0, 1, most, w, h, 0, 0, 0, 0)
+        strh = b"vidsMJPG" + struct.pack("<3I", 0, 0, 0) + struct.pack("<7I", 1, FPS, 0, n, most, 0xFFFFFFFF, 0) + struct.pack("<4h", 0, 0, w, h)
+        strf = struct.pack("<IiiHH4s5I", 40, w, h, 1, 8, b"MJPG", w * h, 0, 0, 0, 0)
+        hdrl = _list(b"hdrl", _chunk(b"avih", avih) + _list(b"strl", _chunk(b"strh", strh) + _chunk(b"strf", strf)))
+        return b"RIFF" + struct.pack("<I", 4 + len(hdrl) + 12 + movi + index) + b"AVI " + hdrl + b"LIST" + struct.pack("<I", movi + 4) + b"movi"
+
+    def add(self, jpegs: np.ndarray, sizes: np.ndarray) -> None:
+        """Frames that stand one after the other in jpegs."""
+        n, padded = len(sizes), sizes + sizes % 2
+        at = np.cumsum(padded + 8) - padded - 8  # of the chunk heads in this block
+        block = np.zeros(int((padded + 8).sum()), np.uint8)
+        heads = np.zeros((n, 8), np.uint8)
+        heads[:, :4] = np.frombuffer(b"00dc", np.uint8)
+        heads[:, 4:] = sizes.astype("<u4").view(np.uint8).reshape(n, 4)
+        block[at[:, None] + np.arange(8)] = heads
+        first = np.cumsum(sizes) - sizes
+        block[np.arange(len(jpegs)) + np.repeat(at + 8 - first, sizes)] = jpegs
+        index = np.zeros((n, 4), "<u4")
+        index[:, 0], index[:, 1], index[:, 2], index[:, 3] = int.from_bytes(b"00dc", "little"), 0x10, at + len(self.out) - self.movi, sizes
+        self.index.append(index.tobytes())
+        self.out += block.data
+        self.most = max(self.most, int(sizes.max(initial=0)))
+
+    def finish(self) -> bytearray:
+        movi, index = len(self.out) - self.movi - 4, _chunk(b"idx1", b"".join(self.index))
+        head = self._head(len(index) // 16, movi, len(index))
+        self.out[:len(head)] = head
+        self.out += index
+        return self.out
+
+
 def write_avi(jpegs: np.ndarray, sizes: np.ndarray) -> bytes:
     """A RIFF AVI of MJPG frames that stand one after the other in jpegs."""
-    n, w, h = len(sizes), COLS * 8, ROWS * 8
-    padded = sizes + sizes % 2
-    most = int(sizes.max(initial=0))
-    avih = struct.pack("<14I", 1_000_000 // FPS, most * FPS, 0, 0x10, n, 0, 1, most, w, h, 0, 0, 0, 0)
-    strh = b"vidsMJPG" + struct.pack("<3I", 0, 0, 0) + struct.pack("<7I", 1, FPS, 0, n, most, 0xFFFFFFFF, 0) + struct.pack("<4h", 0, 0, w, h)
-    strf = struct.pack("<IiiHH4s5I", 40, w, h, 1, 8, b"MJPG", w * h, 0, 0, 0, 0)
-    hdrl = _list(b"hdrl", _chunk(b"avih", avih) + _list(b"strl", _chunk(b"strh", strh) + _chunk(b"strf", strf)))
-    at = np.cumsum(padded + 8) - padded - 8  # of the chunk headers in the movi list
-    movi = np.zeros(int((padded + 8).sum()), np.uint8)
-    heads = np.zeros((n, 8), np.uint8)
-    heads[:, :4] = np.frombuffer(b"00dc", np.uint8)
-    heads[:, 4:] = sizes.astype("<u4").view(np.uint8).reshape(n, 4)
-    movi[at[:, None] + np.arange(8)] = heads
-    first = np.cumsum(sizes) - sizes
-    movi[np.arange(len(jpegs)) + np.repeat(at + 8 - first, sizes)] = jpegs
-    index = np.zeros((n, 4), "<u4")
-    index[:, 0], index[:, 1], index[:, 2], index[:, 3] = int.from_bytes(b"00dc", "little"), 0x10, at + 4, sizes
-    body = b"AVI " + hdrl + _list(b"movi", movi.tobytes()) + _chunk(b"idx1", index.tobytes())
-    return b"RIFF" + struct.pack("<I", len(body)) + body
+    w = AviWriter()
+    w.add(jpegs, sizes)
+    return bytes(w.finish())
 
 
 def read_index(avi: bytes) -> tuple[np.ndarray, np.ndarray, int]:
-    """(where frames start, their sizes, microseconds a frame), by the RIFF tree and its idx1."""
+    """(where frames start, their sizes, microseconds a frame), by the RIFF tree and its idx1.
+
+    Offsets of the index count from the movi list, or, as some writers have it, from the file's start.
+    """
     if avi[:4] != b"RIFF" or avi[8:12] != b"AVI ":
         raise ValueError("not a RIFF AVI")
     at, movi, index, per_frame = 12, None, None, 1_000_000 // FPS
@@ -207,17 +314,23 @@ def read_index(avi: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     if movi is None or index is None:
         raise ValueError("no frames or no index")
     frames = index[(index[:, 0] >> 16) == int.from_bytes(b"dc", "little")].astype(np.int64)
-    return frames[:, 2] + movi + 8, frames[:, 3], per_frame
+    whole_file = len(frames) and avi[movi + frames[0, 2]:movi + frames[0, 2] + 4] != index[0, 0].tobytes()
+    return frames[:, 2] + (0 if whole_file else movi) + 8, frames[:, 3], per_frame
 
 
-def shots(frames: np.ndarray) -> list[tuple[int, int]]:
+def histograms(frames: np.ndarray) -> np.ndarray:
+    """Grey histograms of frames, BINS numbers each."""
+    n = len(frames)
+    return np.bincount((np.arange(n)[:, None] * BINS + (frames >> 4)).ravel(), minlength=n * BINS).reshape(n, BINS)
+
+
+def cuts(hist: np.ndarray) -> list[tuple[int, int]]:
     """[(first frame, frame after the last)]: a cut where histograms differ by FLOOR samples at
     least and by more than FACTOR times the mean difference of the last MEMORY frames (the first
     transition has none before it, and FLOOR alone decides)."""
-    n = len(frames)
+    n = len(hist)
     if not n:
         return []
-    hist = np.bincount((np.arange(n)[:, None] * BINS + (frames >> 4)).ravel(), minlength=n * BINS).reshape(n, BINS)
     d = np.abs(np.diff(hist, axis=0)).sum(axis=1)  # d[i]: frame i + 1 against i
     total = np.r_[0, np.cumsum(d)]
     i = np.arange(len(d))
@@ -227,40 +340,59 @@ def shots(frames: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:]))
 
 
+def shots(frames: np.ndarray) -> list[tuple[int, int]]:
+    """cuts() of decoded frames."""
+    return cuts(histograms(frames))
+
+
 def payload_of(text: str) -> tuple[int, bytes]:
     raw = text.encode("utf-8", "replace")
     return len(raw), raw + b" " * ((-len(raw)) % FRAME or (FRAME if not raw else 0))
 
 
-def to_avi(payload: bytes) -> bytes:
-    return write_avi(*encode_frames(np.frombuffer(payload, np.uint8).reshape(-1, FRAME)))
+def to_avi(payload) -> bytearray:
+    """The AVI of a payload, coded in blocks."""
+    samples, w = np.frombuffer(payload, np.uint8).reshape(-1, FRAME), AviWriter()
+    for a in range(0, len(samples), BLOCK):
+        w.add(*encode_frames(samples[a:a + BLOCK]))
+    return w.finish()
 
 
-def clips(avi: bytes) -> list[dict]:
-    """Timed clip rows of an AVI: frames, milliseconds, mean grey."""
+def read_back(avi, use=lambda raw: None) -> tuple[list[dict], int, bytes]:
+    """(timed clip rows, payload bytes, the last 16 of them) of an AVI; use() gets the payload block by block."""
     starts, sizes, per_frame = read_index(avi)
-    frames = decode_frames(np.frombuffer(avi, np.uint8), starts, sizes)
-    return _clip_rows(frames, per_frame)
+    data, hists, sums, n, tail = np.frombuffer(avi, np.uint8), [], [np.zeros(1, np.int64)], 0, b""
+    for a in range(0, len(starts), BLOCK):
+        frames = decode_frames(data, starts[a:a + BLOCK], sizes[a:a + BLOCK])
+        raw = frames.tobytes()
+        use(raw)
+        n, tail = n + len(raw), raw[-16:]
+        hists.append(histograms(frames).astype(np.int32))
+        sums.append(frames.sum(axis=1, dtype=np.int64))
+    grey = np.cumsum(np.concatenate(sums))
+    each = n // max(1, len(starts))
+    found = cuts(np.concatenate(hists)) if hists else []
+    return [{"clip": k, "first_frame": a, "frames": b - a, "start_ms": a * per_frame // 1000, "end_ms": b * per_frame // 1000, "mean_grey": int((grey[b] - grey[a]) // ((b - a) * each))} for k, (a, b) in enumerate(found)], n, tail
 
 
-def _clip_rows(frames: np.ndarray, per_frame: int) -> list[dict]:
-    return [{"clip": k, "first_frame": a, "frames": b - a, "start_ms": a * per_frame // 1000, "end_ms": b * per_frame // 1000, "mean_grey": int(frames[a:b].sum(dtype=np.int64) // ((b - a) * frames.shape[1]))} for k, (a, b) in enumerate(shots(frames))]
+def clips(avi: bytes) -> list[dict]:
+    """Timed clip rows of an AVI: frames, milliseconds, mean grey."""
+    return read_back(avi)[0]
 
 
 def stored(text: str | None) -> dict:
     """Everything that one text's row gets; equal texts, equal values."""
     n, payload = payload_of(text or "")
     avi = to_avi(payload)
-    starts, sizes, per_frame = read_index(avi)
-    frames = decode_frames(np.frombuffer(avi, np.uint8), starts, sizes)
-    back = frames.tobytes()
-    rows = _clip_rows(frames, per_frame)
+    del payload
+    sha = hashlib.sha256()
+    rows, size, tail = read_back(avi, sha.update)
     longest = max(r["frames"] for r in rows)
     table = ";".join(f"{r['first_frame']}+{r['frames']}@{r['mean_grey']}" for r in rows)
-    feature = f"frames={len(frames)} clips={len(rows)} longest={longest} ms={rows[-1]['end_ms']} table={zlib.crc32(table.encode()):08x}"
+    feature = f"frames={size // FRAME} clips={len(rows)} longest={longest} ms={rows[-1]['end_ms']} table={zlib.crc32(table.encode()):08x}"
     return {
-        "n_bytes": n, "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-16:]),
-        "media_bytes": len(avi), "media_sha256": hashlib.sha256(avi).hexdigest(), "feature": feature, "media": avi, "clips": rows,
+        "n_bytes": n, "payload_bytes": size, "payload_sha256": sha.hexdigest(), "tail_crc32": zlib.crc32(tail), "media_bytes": len(avi),
+        "media_sha256": hashlib.sha256(avi).hexdigest(), "feature": feature, "clips": rows, "media": avi,
     }
 
 
@@ -269,17 +401,24 @@ CLIPS = "clips array<struct<clip:int,first_frame:int,frames:int,start_ms:long,en
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = False) -> DataFrame:
-    """(doc_id, digests and feature[, media binary, clips]) of every row, whole texts.
+    """(doc_id, digests, feature, clips[, media binary]) of every row, whole texts.
 
-    Null and empty texts are one frame of blanks; a null id stays null; repeated rows give
-    repeated results; an empty table gives an empty result; other columns are ignored.
+    Null and empty texts are one frame of blanks; a null id stays null; repeated rows and equal
+    texts (ties) give equal results; of a very long text the media bytes, about twice its own,
+    are held at once, and one text of a batch at a time unless the media are kept; an empty
+    table gives an empty result; other columns are ignored, whatever their names.
     """
-    schema = DIGEST + (f", media binary, {CLIPS}" if keep_media else "")
-    names = [c.split()[0] for c in schema.replace(CLIPS, "clips array").split(", ")]
+    schema = f"{DIGEST}, {CLIPS}" + ", media binary" * keep_media
+    names = [*(c.split()[0] for c in DIGEST.split(", ")), "clips", *["media"] * keep_media]
+
+    def row(text):
+        out = stored(text)
+        return [bytes(out[c]) if c == "media" else out[c] for c in names]
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([stored(t) for t in texts], columns=[*names])
+            yield pd.DataFrame([row(t) for t in texts], columns=names)
+        release()
 
     made = F.pandas_udf(run, schema)
     return docs.select(F.col(id_col).alias("doc_id"), made(F.col(text_col).cast("string")).alias("m")).select("doc_id", "m.*")
@@ -287,4 +426,4 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def clip_rows(docs: DataFrame, **options) -> DataFrame:
     """One row for each timed clip of every document's media."""
-    return media_columns(docs, keep_media=True, **options).select("doc_id", F.inline("clips"))
+    return media_columns(docs, **options).select("doc_id", F.inline("clips"))

@@ -554,3 +554,134 @@ def test_jaccard_links_through_a_text_without_an_id(spark):
     got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((key(x[:3]) for x in got)) == sorted(map(key, jaccard_brute(rows)))
     assert {x.component_id for x in got if x.doc_id} == {1} and max(x.n_links for x in got) == 2
+
+
+def jpeg_of(planes, factors, restart=0):
+    """A baseline JPEG made bit by bit, with AC coefficients, by flat 8-bit Huffman codes."""
+    import struct
+
+    rows, cols = planes[0].shape
+    most_h, most_v = max(h for h, _ in factors), max(v for _, v in factors)
+    basis = media._cosines()
+    flat = lambda k: bytes([k, *[0] * 7, 255, *[0] * 8]) + bytes(range(255))  # noqa: E731  symbol s has the code s, 8 bits
+    head = b"\xff\xd8" + media._segment(0xDB, b"\x00" + bytes([2] * 64)) + media._segment(0xC4, flat(0)) + media._segment(0xC4, flat(0x10))
+    head += media._segment(0xC0, struct.pack(">BHHB", 8, rows, cols, len(planes)) + b"".join(bytes([k + 1, h << 4 | v, 0]) for k, (h, v) in enumerate(factors)))
+    head += media._segment(0xDD, struct.pack(">H", restart)) if restart else b""
+    head += media._segment(0xDA, bytes([len(planes), *(x for k in range(len(planes)) for x in (k + 1, 0)), 0, 63, 0]))
+    across, down = -(-cols // (8 * most_h)), -(-rows // (8 * most_v))
+    out, bits, last, marker = b"", "", [0] * len(planes), 0
+
+    def number(v):
+        s = abs(v).bit_length()
+        return s, f"{(v if v > 0 else v + (1 << s) - 1):0{s}b}" if s else ""
+
+    def flush():
+        nonlocal bits
+        bits += "1" * (-len(bits) % 8)
+        raw = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00") if bits else b""
+        bits = ""
+        return raw
+
+    for unit in range(across * down):
+        if restart and unit and unit % restart == 0:
+            out += flush() + bytes([0xFF, 0xD0 + marker % 8])
+            marker, last = marker + 1, [0] * len(planes)
+        r, c = divmod(unit, across)
+        for k, (h, v) in enumerate(factors):
+            small = planes[k].reshape(rows // (most_v // v), most_v // v, cols // (most_h // h), most_h // h)[:, 0, :, 0].astype(float)
+            small = np.pad(small, ((0, down * v * 8 - small.shape[0]), (0, across * h * 8 - small.shape[1])), mode="edge")
+            for y in range(v):
+                for x in range(h):
+                    a, b = (r * v + y) * 8, (c * h + x) * 8
+                    q = np.rint(basis.T @ (small[a:a + 8, b:b + 8] - 128) @ basis / 2).astype(int).ravel()[list(media.ZIGZAG)]
+                    s, e = number(int(q[0]) - last[k])
+                    last[k] = int(q[0])
+                    bits += f"{s:08b}{e}"
+                    zeros = 0
+                    for i in range(1, 64):
+                        if not q[i:].any():
+                            bits += f"{0:08b}"
+                            break
+                        if q[i] == 0:
+                            zeros += 1
+                            continue
+                        while zeros > 15:
+                            bits, zeros = bits + f"{0xF0:08b}", zeros - 16
+                        s, e = number(int(q[i]))
+                        bits, zeros = bits + f"{zeros << 4 | s:08b}{e}", 0
+    return head + out + flush() + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("factors,restart", [([(1, 1)], 0), ([(1, 1)], 3), ([(2, 2), (1, 1), (1, 1)], 0), ([(2, 1), (1, 1), (1, 1)], 2)])
+def test_any_baseline_jpeg_is_decoded(factors, restart):
+    rng = np.random.default_rng(7)
+    smooth = lambda: (np.add.outer(np.arange(48) * 3, np.arange(64) * 2) + rng.integers(0, 40, (48, 64))) % 256
+    most_h, most_v = max(h for h, _ in factors), max(v for _, v in factors)
+    planes = [smooth()[::most_v // v, ::most_h // h].repeat(most_v // v, 0).repeat(most_h // h, 1) for h, v in factors]
+    got = media.decode_jpeg(jpeg_of(planes, factors, restart))
+    assert len(got) == len(planes) and all(np.abs(a.astype(int) - b).max() <= 5 for a, b in zip(got, planes))
+
+
+def test_foreign_frames_and_absolute_indexes_are_read():
+    rng = np.random.default_rng(8)
+    frames = rng.integers(0, 256, (3, 96, 128))
+    jpegs = [np.frombuffer(jpeg_of([f], [(1, 1)]), np.uint8) for f in frames]
+    avi = bytearray(media.write_avi(np.concatenate(jpegs), np.array([len(j) for j in jpegs])))
+    starts, sizes, _ = media.read_index(avi)
+    means = media.decode_frames(np.frombuffer(avi, np.uint8), starts, sizes)
+    assert np.abs(means - frames.reshape(3, 12, 8, 16, 8).mean(axis=(2, 4)).reshape(3, -1)).max() <= 2
+    at = avi.index(b"idx1") + 8
+    for k in range(3):  # the same index, counted from the start of the file
+        avi[at + 16 * k + 8:at + 16 * k + 12] = (int(starts[k]) - 8).to_bytes(4, "little")
+    assert media.read_index(avi)[0].tolist() == starts.tolist()
+
+
+def test_media_of_a_long_text_is_made_in_blocks(monkeypatch):
+    text = "".join(chr(97 + i % 23) for i in range(100_000))
+    whole = media.stored(text)
+    monkeypatch.setattr(media, "BLOCK", 7)
+    assert media.stored(text) == whole and whole["payload_sha256"] == hashlib.sha256(media.payload_of(text)[1]).hexdigest()
+
+
+def shots_brute(frames):
+    """The rule of cuts, frame by frame."""
+    hist = [Counter(int(x) >> 4 for x in f) for f in frames]
+    d = [sum(abs(hist[i + 1][k] - hist[i][k]) for k in range(16)) for i in range(len(frames) - 1)]
+    edges = [0]
+    for i, x in enumerate(d):
+        before = d[max(0, i - media.MEMORY):i]
+        if x >= media.FLOOR and (not before or x * len(before) > media.FACTOR * sum(before)):
+            edges.append(i + 1)
+    return list(zip(edges, [*edges[1:], len(frames)]))
+
+
+def test_shots_by_brute_force():
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        levels = np.repeat(rng.integers(0, 240, 6), rng.integers(1, 14, 6))
+        frames = np.clip(levels[:, None] + rng.integers(0, rng.integers(2, 60), (len(levels), 192)), 0, 255).astype(np.uint8)
+        assert media.shots(frames) == shots_brute(frames)
+        rows = media.clips(media.to_avi(frames.tobytes()))
+        assert [(r["first_frame"], r["first_frame"] + r["frames"]) for r in rows] == shots_brute(frames)
+        assert [r["mean_grey"] for r in rows] == [int(frames[a:b].sum()) // ((b - a) * 192) for a, b in shots_brute(frames)]
+
+
+def test_a_shared_folder_is_needed_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, other=None: other)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: {})
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+
+
+def test_scratch_tables_are_removed(spark):
+    with common.scratch(spark):
+        path = common.written(spark.range(3), "gone").inputFiles()[0]
+        assert __import__("os").path.exists(path.removeprefix("file://"))
+    assert not __import__("os").path.exists(path.removeprefix("file://"))
