@@ -98,8 +98,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when identical after each run of ASCII white space became one space; null
     counts as empty. Of equal texts the smallest id stays; null ids come last; of rows that
-    also share that id, one stays. Columns of docs that have an output's name are replaced.
-    An empty table gives an empty result.
+    also share that id (repeated rows, ties), one stays. A very long text is hashed as a whole by
+    one task and is not shuffled. Columns of docs that have an output's name are replaced, others
+    stay. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     names = [c for c in (docs.columns if columns is None else columns) if c not in ("keep_id", "group_size", "kept", "text_sha256")]

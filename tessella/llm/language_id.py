@@ -17,8 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_join, written
-
+from .common import checked_join, release, written
 
 DIM, GRAM = 1024, 3
 #: At most about so many labelled documents a language are learned from, drawn by a hash of the id.
@@ -155,8 +154,10 @@ def _scored(texts: list[str | None], langs: list[str], matrix: np.ndarray, dim:
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", dim: int = DIM, gram: int = GRAM) -> DataFrame:
     """docs with lang_pred and score (the cosine, 0 to 1) of every whole text.
 
-    "und" with score 0 where a text is null or has no letter, or nothing was learned. Columns of
-    docs that have an output's name are replaced; an empty table gives an empty result.
+    "und" with score 0 where a text is null or has no letter, or nothing was learned. Scores that
+    are equal to six places (ties) go to the first language by code point; repeated rows get equal
+    results; a very long text is bundled as a whole in one task. Columns of docs that have an
+    output's name are replaced, others stay; an empty table gives an empty result.
     """
     docs = docs.drop("lang_pred", "score")
     langs = list(prototypes)
@@ -180,7 +181,9 @@ def accepted(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float, t
     """The rows of docs, as they are, whose text is in a learned language with a score of least or more.
 
     A text of fewer than enough different n-grams has a low cosine in any language: it stays
-    whatever its score, unless it is "und".
+    whatever its score, unless it is "und" (null, empty, without letters, or nothing was learned).
+    Each row is judged by its whole text alone, however long, so repeated rows stay or go
+    together; columns keep their names, types and order; an empty table gives an empty result.
     """
     langs = list(prototypes)
     matrix = np.stack(list(prototypes.values())) if langs else np.zeros((0, dim), np.float32)
@@ -191,5 +194,6 @@ def accepted(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float, t
             texts = b.column(at).to_pylist()
             lang, score = _scored(texts, langs, matrix, dim, gram)
             yield b.filter(pa.array([x != UNKNOWN and (s >= least or distinct_grams(t, gram) < enough) for t, x, s in zip(texts, lang, score)], pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

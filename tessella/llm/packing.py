@@ -107,8 +107,11 @@ def _places(plan, length_of_ranks: dict) -> pd.DataFrame:
 def pack(docs: DataFrame, max_len: int = MAX_LEN, **options) -> DataFrame:
     """pieces() of every document with sequence_id and offset: gapless sequences of at most max_len.
 
-    Null and empty texts are one id (0); rows that share an id, and null ids, are packed like
-    others; an empty table gives an empty result. Only the histogram of at most max_len lengths
+    Null and empty texts are one id (0); rows that share an id, repeated rows and null ids are
+    packed like others; ties are pieces of one length, dealt by content and id, and pieces alike
+    in both may change places. A very long text is encoded slice by slice in one task and cut to
+    many pieces. An empty table gives an empty result; other columns are ignored, whatever their
+    names. Only the histogram of at most max_len lengths
     goes to the driver, and only the plan made of it comes back.
     """
     table = written(pieces(docs, max_len=max_len, **options), "pieces")

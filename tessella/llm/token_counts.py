@@ -20,7 +20,11 @@ SPAN = 1024
 
 
 def encoded_lengths(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, end_of_text: int = 0) -> DataFrame:
-    """One column n_tokens: ids of every whole text plus end_of_text; null counts as empty."""
+    """One column n_tokens: ids of every whole text plus end_of_text; null counts as empty.
+
+    Repeated rows count again; a very long text is encoded slice by slice in one task; an empty
+    table gives an empty result; other columns are ignored, whatever their names.
+    """
     path = vocabulary or default_vocabulary()
 
     def count(batches):
@@ -62,11 +66,17 @@ def length_table(lengths: DataFrame) -> DataFrame:
 
 
 def truncated_total(table: DataFrame, limit: int) -> int:
-    """Tokens left if every document is cut to any limit, of a length_table."""
-    row = table.agg(F.sum(F.least(F.col("context_limit"), F.lit(limit)) * F.col("n_docs"))).first()
-    return int(row[0] or 0)
+    """Tokens left if every document is cut to any limit, of a length_table: read off one of its rows.
+
+    Of the longest length within the limit, shorter documents keep all and longer ones have the
+    limit's tokens; below the shortest length every document has.
+    """
+    row = table.where(F.col("context_limit") <= limit).agg(F.max_by(F.struct("total_tokens", "tokens_over", "docs_over"), "context_limit").alias("r")).first().r
+    if row is None:
+        return int(limit * (table.agg(F.max("total_docs")).first()[0] or 0))
+    return int(row.total_tokens - row.tokens_over + row.docs_over * limit)
 
 
 def quantile(table: DataFrame, q: float) -> int | None:
-    """The smallest length within which a share q of the documents lies."""
+    """The smallest length within which a share q of the documents lies, of a length_table."""
     return table.where(F.col("quantile") >= q).agg(F.min("context_limit")).first()[0]
