@@ -17,27 +17,44 @@ CHANCE, ENOUGH = 3 / language_id.DIM**0.5, 100
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without letters, or long and like none, go."""
+    """Documents in a learned language; those without letters (null and empty texts too), or long and like none, go.
+
+    Languages are learned from the rows of docs itself; of an empty table, or one without labels,
+    every document is of no learned language and goes. Repeated rows stay or go together.
+    """
     return language_id.accepted(docs, language_id.learn(docs), CHANCE, enough=ENOUGH)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: the smallest id; of rows that share it, one.
+
+    Null and empty texts are one group. Columns of docs stay as they are; an empty table stays empty.
+    """
     return exact_dedup.exact_dedup(docs).where("kept").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar texts: five-word shingles, similarity 0.75."""
+    """One document of each group of similar texts: five-word shingles, similarity 0.75.
+
+    The smallest id of a component stays, and rows without an id; texts without words are similar
+    to none; of an id's rows only those in the component go. An empty table stays empty.
+    """
     return jaccard_join.representatives(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them: rows are left out or repeated, never changed.
+
+    Texts without words are never taken; null sources are one source; an empty table stays empty.
+    """
     return mixing.mixed_rows(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their place in sequences."""
+    """Pieces of documents with their place in sequences; each taken copy of a document is packed for itself.
+
+    Null and empty texts are one id; a very long text is many pieces; an empty table gives no piece.
+    """
     return packing.pack(docs)
 
 
