@@ -1,16 +1,19 @@
 """Suffix-array dedup: bytes of passages that a document with a smaller id has too.
 
 Every WINDOW-byte string belongs to the anchor gram it holds (see anchors.py). Stretches of
-text around equal grams meet in one task, as hashes first: equal stretches need no further
-look, the smallest document keeps its own and the others lose all of theirs; stretches around
-a gram that differ are fetched and sorted by a suffix array (suffix_sort.py), in which equal
-windows stand next to each other and the smallest document of each run is read off. What is to
-go is merged for each document and cut out of its text.
+text around equal grams meet in one task, as hashes first: of equal stretches (112 bits of
+hashes) the smallest document keeps its own and the others lose all of theirs; copies within a
+task are settled before the shuffle, and spans of one document merged. Stretches around a gram
+that differ are fetched and sorted by a suffix array (suffix_sort.py), in which equal windows
+stand next to each other and the smallest document of each run is read off. A gram with more
+than HOT different stretches is dealt by its windows, so that no task gets all of them. What is
+to go is merged for each document and cut out of its text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,14 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import GRAM, WINDOW, anchors
-from .common import BROADCAST_BYTES, as_text, checked_join, shuffle_parts, written
-from .shingles import BITS, MASK, U, by_part, pack_sorted, runs, text_bytes, unpack_sorted
+from .common import as_text, checked_join, release, shuffle_parts, written
+from .shingles import BITS, MASK, by_part, pack_sorted, runs, text_bytes, unpack_sorted
 
-HELD = 1 << 20
+HELD = 1 << 19
 PART_ANCHORS = 1 << 19
 STEP = 2048
 #: Symbols that one suffix array holds, unless a single gram's stretches are more.
 SORTED = 1 << 15
+#: Different stretches of one gram that meet in one task; windows of a gram with more are dealt one by one.
+HOT = 4096
+#: Settled spans of a packed row.
+SETTLED = 1 << 15
 #: Texts that share an id are parts of one document, so many bytes apart.
 SEGMENT = 40
 
@@ -44,18 +51,51 @@ def _wide(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{raw[0]}", offset=9).astype(np.int64) + int.from_bytes(raw[1:9], "little", signed=True)
 
 
+def _maximal(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, end) of the maximal runs of documents' spans."""
+    if not len(doc):
+        return doc, start, end
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    by_end = np.lexsort((end, doc))
+    rank = np.empty(len(doc), np.int64)
+    rank[by_end] = np.arange(len(doc))
+    reach = end[by_end[np.maximum.accumulate(rank)]]
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > reach[:-1])])
+    return doc[first], start[first], reach[np.r_[first[1:], len(doc)] - 1]
+
+
+def _of_docs(doc: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(documents, their rows of columns as packed 64-bit numbers)."""
+    order = np.argsort(doc, kind="stable")
+    doc, table = doc[order], np.stack([c[order] for c in columns], axis=1).astype("<i8")
+    first, n = runs(doc)
+    return doc[first], [table[a:a + k].tobytes() for a, k in zip(first, n)]
+
+
 FIELDS = ["keys", "whole", "doc", "start", "length", "at"]
 
 
 def _dealt(bits: int):
-    """Anchors of a task's texts, dealt by their gram's hash, as packed rows."""
+    """Anchors of a task's texts, dealt by their gram's hash, as packed rows.
+
+    Of equal stretches in a task only those of the smallest document go on; the others are
+    settled, and travel as merged spans under part numbers of 2**bits and more.
+    """
 
     def emit(held):
         key, whole, doc, start, length, at = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(key, kind="stable")
+        order = np.lexsort((doc, whole, key))
         key, whole, doc, start, length, at = (x[order] for x in (key, whole, doc, start, length, at))
+        new = np.r_[True, (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])]
+        gone = doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+        d, s, e = _maximal(doc[gone], start[gone], start[gone] + length[gone])
+        key, whole, doc, start, length, at = (x[~gone] for x in (key, whole, doc, start, length, at))
         part, a, b = by_part(key, bits)
-        cols = [[pack_sorted(key[i:j]), np.ascontiguousarray((whole[i:j] & U((1 << 40) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes(), *(_narrow(x[i:j]) for x in (doc, start)), (length[i:j] - WINDOW).astype(np.uint8).tobytes(), at[i:j].astype(np.uint8).tobytes()] for i, j in zip(a, b)]
+        cols = [[pack_sorted(key[i:j]), whole[i:j].astype("<u8").tobytes(), _narrow(doc[i:j]), _narrow(start[i:j]), _narrow(length[i:j]), at[i:j].tobytes()] for i, j in zip(a, b)]
+        settled = range(0, len(d), SETTLED)
+        cols += [[pack_sorted(key[:0]), b"", *(_narrow(x[i:i + SETTLED]) for x in (d, s, e - s)), b""] for i in settled]
+        part = np.concatenate([part, [(1 << bits) + int(d[i]) * 0x9E3779B1 % (1 << bits) for i in settled]]).astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *(pa.array([c[k] for c in cols], pa.binary()) for k in range(6))], ["part", *FIELDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,60 +106,80 @@ def _dealt(bits: int):
                 doc, start, length, at, gram, around = anchors(*text_bytes(b.column(2)))
                 ids = b.column(0).to_numpy(zero_copy_only=False)[doc]
                 seg = b.column(1).to_numpy(zero_copy_only=False)[doc].astype(np.int64) << SEGMENT
-                held.append((gram & MASK, around, ids.astype(np.int64), start + seg, length, at))
+                held.append((gram & MASK, around, ids.astype(np.int64), start + seg, length.astype(np.uint8), at.astype(np.uint8)))
                 n += len(doc)
                 if n >= HELD:
                     yield emit(held)
                     held, n = [], 0
         if n:
             yield emit(held)
+        release()
 
     return run
 
 
 def _opened(pdf: pd.DataFrame) -> list[np.ndarray]:
-    whole = np.zeros((sum(map(len, pdf["whole"])) // 5, 8), np.uint8)
-    whole[:, :5] = np.frombuffer(b"".join(pdf["whole"]), np.uint8).reshape(-1, 5)
-    bytes_of = [np.frombuffer(b"".join(pdf[c]), np.uint8).astype(np.int64) for c in ("length", "at")]
-    key, doc, start = (np.concatenate([f(x) for x in pdf[c]]) for c, f in (("keys", unpack_sorted), ("doc", _wide), ("start", _wide)))
-    return [key, whole.view("<u8").ravel(), doc, start, bytes_of[0] + WINDOW, bytes_of[1]]
-
-
-def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per gram: spans that go (span rows), and stretches whose text is needed (asked rows)."""
-    key, whole, doc, start, length, at = _opened(pdf)
-    order = np.lexsort((doc, whole, key))
-    key, whole, doc, start, length, at = (x[order] for x in (key, whole, doc, start, length, at))
-    k_first, k_n = runs(key)
-    several = np.minimum.reduceat(doc, k_first) < np.maximum.reduceat(doc, k_first)
-    keep = np.repeat(several, k_n)
-    key, whole, doc, start, length, at = (x[keep] for x in (key, whole, doc, start, length, at))
-    out = {c: [np.zeros(0, np.int64)] for c in ("doc", "start", "length", "key", "at")}
-    if len(key):
+    key, doc, start, length = (np.concatenate([f(x) for x in pdf[c]]) for c, f in (("keys", unpack_sorted), ("doc", _wide), ("start", _wide), ("length", _wide)))
+    whole, at = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("whole", "<u8"), ("at", np.uint8)))
+    return [key, whole, doc, start, length, at.astype(np.int64)]
+
+
+FOUND = "doc long, asked boolean, raw binary"
+
+
+def _found(doc, asked: bool, *columns) -> pd.DataFrame:
+    docs, raw = _of_docs(doc, *columns)
+    return pd.DataFrame({"doc": docs, "asked": np.full(len(docs), asked), "raw": pd.Series(raw, dtype=object)})
+
+
+def _compare(bits: int):
+    """Per document of a part: spans that go (start, end), and asked stretches (start, length, key, at, stretches of that gram)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, whole, doc, start, length, at = _opened(pdf)
+        if pdf["part"].iat[0] >> bits:
+            return _found(doc, False, start, start + length)
+        order = np.lexsort((doc, whole, key))
+        key, whole, doc, start, length, at = (x[order] for x in (key, whole, doc, start, length, at))
+        k_first, k_n = runs(key)
+        several = np.minimum.reduceat(doc, k_first) < np.maximum.reduceat(doc, k_first)
+        keep = np.repeat(several, k_n)
+        key, whole, doc, start, length, at = (x[keep] for x in (key, whole, doc, start, length, at))
+        if not len(key):
+            return _found(doc, False, start, start)
         c_first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])])
         c_n = np.diff(np.r_[c_first, len(key)])
         mine = doc == np.repeat(doc[c_first], c_n)  # of the smallest document with that stretch
         k_first, k_n = runs(key[c_first])
-        contested = np.repeat(np.repeat(k_n > 1, k_n), c_n)
-        for rows, asked in ((~mine, False), (mine & contested, True)):
-            for c, x in zip(out, (doc, start, length, key.astype(np.int64) if asked else np.full(len(key), -1), at)):
-                out[c].append(x[rows])
-    return pd.DataFrame({c: np.concatenate(x) for c, x in out.items()})
+        stretches = np.repeat(np.repeat(k_n, k_n), c_n)
+        ask = mine & (stretches > 1)
+        d, s, e = _maximal(doc[~mine], start[~mine], start[~mine] + length[~mine])
+        out = [_found(d, False, s, e), _found(doc[ask], True, *(x[ask] for x in (start, length, key.astype(np.int64), at, stretches)))]
+        return pd.concat([x for x in out if len(x)] or out[:1])
+
+    return run
 
 
 def _fetch(bits: int):
-    """Asked stretches of each text, with their bytes."""
+    """Asked stretches of each text, with their bytes; those of a hot gram as single windows, dealt by their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for doc, seg, text, asked in zip(*(b.column(k).to_pylist() for k in range(4))):
                 raw = text.encode()
-                for start, length, key, at in np.frombuffer(asked, "<i8").reshape(-1, 4).tolist():
-                    if start >> SEGMENT == seg:
-                        a = start & ((1 << SEGMENT) - 1)
+                for start, length, key, at, stretches in np.frombuffer(b"".join(asked), "<i8").reshape(-1, 5).tolist():
+                    if start >> SEGMENT != seg:
+                        continue
+                    a = start & ((1 << SEGMENT) - 1)
+                    if stretches <= HOT:
                         rows.append((key >> (BITS - bits), key, doc, start, at, raw[a:a + length]))
+                        continue
+                    for o in range(length - WINDOW + 1):
+                        window = raw[a + o:a + o + WINDOW]
+                        rows.append((zlib.crc32(window, key & 0xFFFFFFFF) % (1 << bits), key, doc, start + o, at - o, window))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [[]] * 6, [pa.int64()] * 5 + [pa.binary()])], ["part", "key", "doc", "start", "at", "raw"])
+        release()
 
     return run
 
@@ -133,14 +193,15 @@ def _sorted_windows(keys, docs, ats, raws) -> tuple[np.ndarray, np.ndarray]:
     from .suffix_sort import suffix_array
 
     n_symbols = WINDOW - GRAM + 1
-    names = {k: 257 + i for i, k in enumerate(dict.fromkeys(keys))}
+    grams = [(k, r[at:at + GRAM]) for k, at, r in zip(keys, ats, raws)]
+    names = {g: 257 + i for i, g in enumerate(dict.fromkeys(grams))}
     lens = np.array([len(r) - GRAM + 2 for r in raws])
     begin = np.cumsum(lens) - lens
     text = np.ones(int(lens.sum()) + 1, np.int64)
-    for b, n, k, at, r in zip(begin.tolist(), lens.tolist(), keys, ats, raws):
+    for b, n, g, at, r in zip(begin.tolist(), lens.tolist(), grams, ats, raws):
         x = np.frombuffer(r, np.uint8)
         text[b:b + at] = x[:at] + 2
-        text[b + at] = names[k] + 2
+        text[b + at] = names[g] + 2
         text[b + at + 1:b + n - 1] = x[at + GRAM:] + 2
     text[-1] = 0
     order = np.array(suffix_array(text))
@@ -179,34 +240,23 @@ def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
             last = np.r_[first[1:], len(s)] - 1
             out.append(np.stack([np.array(docs[a:b])[s[first]], np.array(starts[a:b])[s[first]] + offset[first], offset[last] - offset[first] + WINDOW], axis=1))
         a = b
-    return pd.DataFrame(np.concatenate(out), columns=["doc", "start", "length"])
-
+    doc, start, length = np.concatenate(out).T
+    doc, start, end = _maximal(doc, start, start + length)
+    return _found(doc, False, start, end)
 
-def _merged(spans: pd.Series) -> pd.Series:
-    """Spans (start, length) of a document as maximal runs, packed."""
-    out = []
-    for x in spans:
-        x = np.array([(y["start"], y["length"]) for y in x], np.int64).reshape(-1, 2)
-        x = x[np.argsort(x[:, 0], kind="stable")]
-        reach = np.maximum.accumulate(x.sum(axis=1))
-        first = np.flatnonzero(np.r_[True, x[1:, 0] > reach[:-1]])
-        out.append(np.stack([x[first, 0], reach[np.r_[first[1:], len(x)] - 1]], axis=1).astype("<i8").tobytes())
-    return pd.Series(out)
 
-
-def _cut(seg: int, text: str, spans: bytes | None) -> tuple[bytes, int, int, int]:
-    """(what is left, bytes, bytes removed, runs removed) of one text."""
+def _cut(seg: int, text: str, spans: list[bytes] | None) -> tuple[bytes, int, int, int, bytes]:
+    """(what is left, bytes, bytes removed, runs removed, those runs) of one text."""
     raw = text.encode()
-    if spans is None:
-        return raw, len(raw), 0, 0
-    x = np.frombuffer(spans, "<i8").reshape(-1, 2)
+    x = np.frombuffer(b"".join(spans or []), "<i8").reshape(-1, 2)
     x = x[(x[:, 0] >> SEGMENT) == seg] & ((1 << SEGMENT) - 1)
+    _, start, end = _maximal(np.zeros(len(x), np.int64), x[:, 0], x[:, 1])
     left, at = [], 0
-    for a, b in x.tolist():
+    for a, b in zip(start.tolist(), end.tolist()):
         left.append(raw[at:a])
         at = b
     left.append(raw[at:])
-    return b"".join(left), len(raw), int((x[:, 1] - x[:, 0]).sum()), len(x)
+    return b"".join(left), len(raw), int((end - start).sum()), len(start), np.stack([start, end], axis=1).astype("<i8").tobytes()
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -215,35 +265,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte goes if a WINDOW-byte string over it starts in a document with a smaller id, too;
     strings are those of the input. Null and empty texts have no bytes. Rows with a null id are
     smaller than none and larger than none: they lose nothing. Rows that share an id are one
-    document: none is smaller than the other. An empty table gives an empty result; other
-    columns are ignored. kept is what is left (binary), spans the removed [start, end) bytes.
+    document: none is smaller than the other, so that repeated rows keep what only they have.
+    Ties need no rule, as ids differ. A very long text is read in pieces of bounded size, and
+    is one row of one task. An empty table gives an empty result; other columns are ignored,
+    whatever their names. kept is what is left (binary), spans the removed [start, end) bytes.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_text(F.col(text_col)).alias("text"))
-    ids = rows.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("th"))
-    same = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    twice = written(ids.join(same, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_set("th")).alias("ths")), "twice")
+    same = written(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "same")
     seg = F.lit(0).cast("long")
-    if twice.limit(1).count():
+    if not same.isEmpty():
+        ids = checked_join(rows, same, "doc_id", "left_semi", 24).select("doc_id", F.xxhash64("text").alias("th"))
+        twice = written(ids.groupBy("doc_id").agg(F.array_sort(F.collect_set("th")).alias("ths")), "twice")
         rows = checked_join(rows, twice, "doc_id", "left", 64)
         seg = F.coalesce(F.array_position("ths", F.xxhash64("text")) - 1, F.lit(0).cast("long"))
     rows = rows.select("doc_id", seg.alias("seg"), "text")
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, int(max(4 * shuffle_parts(spark), volume // 12 // PART_ANCHORS)).bit_length())
     dealt = rows.where("doc_id is not null").mapInArrow(_dealt(bits), "part long, " + ", ".join(f"{f} binary" for f in FIELDS))
-    found = written(dealt.groupBy("part").applyInPandas(_compare, "doc long, start long, length long, key long, at long"), "found")
-
-    def packed(pdf: pd.Series) -> pd.Series:
-        return pdf.map(lambda x: np.array([(y["start"], y["length"], y["key"], y["at"]) for y in x], "<i8").tobytes())
-
-    asked = found.where("key >= 0").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "length", "key", "at")).alias("asked"))
-    asked = written(asked.select("doc_id", F.pandas_udf(packed, "binary")("asked").alias("asked")), "asked")
-    # requests grow with the input: shuffled at every size
+    found = written(dealt.groupBy("part").applyInPandas(_compare(bits), FOUND), "found")
+    asked = found.where("asked").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("raw").alias("asked"))
+    # requests and spans grow with the input: texts are shuffled to them at every size
     fetched = rows.join(asked.hint("merge"), "doc_id").select("doc_id", "seg", "text", "asked").mapInArrow(_fetch(bits), "part long, key long, doc long, start long, at long, raw binary")
-    more = fetched.groupBy("part").applyInPandas(_resolve, "doc long, start long, length long")
-    spans = found.where("key < 0").select("doc", "start", "length").union(more)
-    spans = spans.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    spans = written(spans.select("doc_id", F.pandas_udf(_merged, "binary")("spans").alias("spans")), "spans")
+    more = fetched.groupBy("part").applyInPandas(_resolve, FOUND)
+    spans = found.where("not asked").union(more).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("raw").alias("spans"))
+    spans = written(spans, "spans")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -251,14 +297,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             cols = [b.column(0), *(pa.array([c[k] for c in cut], pa.int64()) for k in (1, 2, 3)), pa.array([hashlib.sha256(c[0]).hexdigest() for c in cut], pa.string())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if keep_text:
-                cols, names = [*cols, pa.array([c[0] for c in cut], pa.binary()), b.column(3)], [*names, "kept", "spans"]
+                cols, names = [*cols, pa.array([c[0] for c in cut], pa.binary()), pa.array([c[4] for c in cut], pa.binary())], [*names, "kept", "spans"]
             yield pa.RecordBatch.from_arrays(cols, names)
+        release()
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans binary" * keep_text
-    return _sized_join(rows, spans, "spans", "left").select("doc_id", "seg", "text", "spans").mapInArrow(finish, schema)
-
-
-def _sized_join(rows: DataFrame, table: DataFrame, column: str, how: str) -> DataFrame:
-    """Join on doc_id that broadcasts the (written) table if all its bytes are few, else shuffles."""
-    size = table.agg(F.sum(F.octet_length(column) + 48)).first()[0] or 0
-    return rows.join(F.broadcast(table) if size <= BROADCAST_BYTES else table, "doc_id", how)
+    return rows.join(spans.hint("merge"), "doc_id", "left").select("doc_id", "seg", "text", "spans").mapInArrow(finish, schema)
