@@ -8,7 +8,8 @@ lists count once. Lists are filtered as wholes (sizes, then parity bitmaps, whos
 distance never exceeds the symmetric difference), expanded to members (distinct sets, so that
 copies are one member), and pairs that pass are verified on the sets.
 
-Pairs are not all listed: the first round verifies every member with its most alike earlier
+Texts are shingled once: their sets are stored, six bytes a shingle, and all later passes read
+those. Pairs are not all listed: the first round verifies every member with its most alike earlier
 member of a list; the second verifies what else passes and is not yet in one component. Links
 are then counted, not listed: every two sets of a component whose links are not all found yet
 meet once, in blocks, and each block gives a number a set. That work grows with the square of
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, checked_join, local_names, shuffle_parts, written
+from .common import as_text, checked_join, local_names, release, shuffle_parts, written
 from .graph import components
 from .shingles import by_part, mix, pack48, pack_sorted, runs, shingle_sets, unpack48, unpack_sorted
 
@@ -58,6 +59,31 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int):
         for a in range(0, whole.num_rows, STEP):
             b = whole.slice(a, STEP)
             yield (b, *shingle_sets(b.column(b.schema.get_field_index("text")), size))
+    release()
+
+
+def _stored(batches: Iterator[pa.RecordBatch]):
+    """(batch, shingles, offsets) of stored sets (tokens), a bounded number of rows at once."""
+    for whole in batches:
+        for a in range(0, whole.num_rows, STEP):
+            b = whole.slice(a, STEP)
+            column = b.column(b.schema.get_field_index("tokens")).cast(pa.large_binary())
+            _, offsets, data = column.buffers()
+            at = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
+            raw = data[int(at[0]):int(at[-1])] if data is not None else b""
+            yield b, unpack48(raw), (at - at[0]) // 6
+    release()
+
+
+def shingle_table(texts: DataFrame, size: int) -> DataFrame:
+    """(doc_id, cid, tokens): the set of every text (doc_id, text), stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, tokens, at in _sets(batches, size):
+            packed = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * 6).astype(np.int64)), pa.py_buffer(pack48(tokens))])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_class_ids(tokens, at).view(np.int64)), packed.cast(pa.binary())], ["doc_id", "cid", "tokens"])
+
+    return written(texts.mapInArrow(run, "doc_id long, cid long, tokens binary"), "shingles")
 
 
 def _class_ids(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -73,10 +99,10 @@ def _sums(mixed: np.ndarray, at: np.ndarray, salt: int) -> np.ndarray:
     return np.where(n > 0, h, 0).astype(np.uint64)
 
 
-def frequent_shingles(docs: DataFrame, size: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(sets: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingles, ascending; their level) of the most frequent ones: a table of bounded size.
 
-    All documents' shingles are counted; a level is the logarithm of the count. The lowest
+    All shingles of the stored sets are counted; a level is the logarithm of the count. The lowest
     level that is told apart rises until FREQUENT_MOST shingles are left, which changes how
     much work the join does, never its result.
     """
@@ -90,7 +116,7 @@ def frequent_shingles(docs: DataFrame, size: int, bits: int) -> tuple[np.ndarray
             c = np.minimum(c, 65535).astype("<u2")
             return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([pack_sorted(tokens[i:j]) for i, j in zip(a, b)], pa.binary()), pa.array([c[i:j].tobytes() for i, j in zip(a, b)], pa.binary())], ["part", "tokens", "counts"])
 
-        for _, tokens, _ in _sets(batches, size):
+        for _, tokens, _ in _stored(batches):
             held.append(tokens)
             n += len(tokens)
             if n >= HELD:
@@ -110,7 +136,7 @@ def frequent_shingles(docs: DataFrame, size: int, bits: int) -> tuple[np.ndarray
         keep = level >= FREQUENT
         return pd.DataFrame({"part": pdf["part"][:1], "tokens": [tokens[first][keep].astype("<u8").tobytes()], "levels": [level[keep].tobytes()], "n": [np.bincount(level[keep], minlength=LEVELS)[:LEVELS].tolist()]})
 
-    counted = docs.mapInArrow(count, "part long, tokens binary, counts binary")
+    counted = sets.select("tokens").mapInArrow(count, "part long, tokens binary, counts binary")
     table = written(counted.groupBy("part").applyInPandas(merge, "part long, tokens binary, levels binary, n array<long>"), "frequent")
     per_level = table.agg(*[F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(LEVELS)]).first()
     per_level = np.array([x or 0 for x in per_level])
@@ -212,6 +238,8 @@ def _pairs_of_lists(everything: bool):
             first = np.r_[True, b[1:] != b[:-1]]
             a, b = np.concatenate([a[first], used]), np.concatenate([b[first], used])
         pairs = np.unique(np.sort(np.stack([cid[a], cid[b]], axis=1), axis=1), axis=0)
+        del bitmaps
+        release()
         return pd.DataFrame(pairs, columns=["a", "b"])
 
     return run
@@ -272,6 +300,7 @@ def _count_links(pdf: pd.DataFrame) -> pd.DataFrame:
         else:
             counts.append(np.concatenate([linked.sum(axis=1), linked.sum(axis=0)]))
         cids.append(part["cid"].to_numpy(np.int64))
+    release()
     if not cids:
         return pd.DataFrame({"cid": np.zeros(0, np.int64), "n_links": np.zeros(0, np.int64)})
     cid, at = np.unique(np.concatenate(cids), return_inverse=True)
@@ -305,19 +334,23 @@ def _all_links(links: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFram
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, count: bool = True) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id[, n_links]) of every row of docs.
-
-    component_id is the smallest doc_id that links reach; n_links, if count, the number of all
-    other classes that are similar to the row's class (equal sets are one class). Null, empty and blank texts have 0 shingles and are linked with
-    nothing: their component is their own doc_id. Rows with a null doc_id take part, and have a
-    null component if all of its ids are null; repeated rows are members of one class; an empty
-    table gives an empty result; other columns are ignored.
+    """(doc_id, n_shingles, component_id, class_id, class_hash[, n_links]) of every row of docs.
+
+    component_id is the smallest doc_id that links reach; class_id the smallest doc_id with an
+    equal set, class_hash that set's hash; n_links, if count, the number of all other classes
+    that are similar to the row's class. Null, empty and blank texts have 0 shingles and are
+    linked with nothing: their component and class are their own doc_id. Rows with a null doc_id
+    take part, and have a null component or class if all of its ids are null; repeated rows and
+    equal sets (ties) are members of one class. A very long text is shingled in pieces, and its
+    set is one row. An empty table gives an empty result; other columns are ignored, whatever
+    their names.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_text(F.col(text_col)).alias("text"))
-    volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(4, int(max(4 * shuffle_parts(spark), volume // 6 // PART_TOKENS)).bit_length())
-    frequent = spark.sparkContext.broadcast(frequent_shingles(texts.select("text"), size, bits))
+    stored = shingle_table(texts, size)
+    volume = (stored.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0) // 6
+    bits = max(4, int(max(4 * shuffle_parts(spark), volume // PART_TOKENS)).bit_length())
+    frequent = spark.sparkContext.broadcast(frequent_shingles(stored, bits))
 
     def levels(tokens: np.ndarray) -> np.ndarray:
         hot, level = frequent.value
@@ -341,11 +374,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             return _sums(mix(prefix, 1) + np.repeat(mix(np.diff(at).astype(np.uint64), 2), np.diff(p_at)), p_at, 21)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, tokens, at in _sets(batches, size):
+        for b, tokens, at in _stored(batches):
             prefix, p_at = prefixes(tokens, at)
             group = group_ids(prefix, at, p_at)
             yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array(np.diff(at)), pa.array(_class_ids(tokens, at).view(np.int64)), pa.array(group.view(np.int64)), pa.array(_bitmaps(tokens, at), pa.binary()),
+                b.column(0), pa.array(np.diff(at)), b.column(1), pa.array(group.view(np.int64)), pa.array(_bitmaps(tokens, at), pa.binary()),
             ], ["doc_id", "n", "cid", "gid", "bitmap"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,7 +393,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             part, a, b = by_part(t, bits)
             return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([pack_sorted(t[i:j]) for i, j in zip(a, b)], pa.binary()), pa.array([g[i:j].astype("<u8").tobytes() for i, j in zip(a, b)], pa.binary())], ["part", "tokens", "groups"])
 
-        for _, tokens, at in _sets(batches, size):
+        for _, tokens, at in _stored(batches):
             prefix, p_at = prefixes(tokens, at)
             group = group_ids(prefix, at, p_at)
             held.append(prefix)
@@ -389,9 +422,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         found = [g[first[i]:first[i] + length[i]].view(np.int64).tolist() for i in at]
         return pd.DataFrame({"lid": sign.view(np.int64), "groups": pd.Series(found, dtype=object)})
 
-    rows = written(texts.mapInArrow(describe, "doc_id long, n long, cid long, gid long, bitmap binary"), "sets")
+    rows = written(stored.mapInArrow(describe, "doc_id long, n long, cid long, gid long, bitmap binary"), "sets")
     classes = written(rows.where("n > 0").groupBy("cid", "gid", "n").agg(F.min("doc_id").alias("rep"), F.first("bitmap").alias("bitmap")), "classes")
-    posted = texts.select("text").mapInArrow(post, "part long, tokens binary, groups binary")
+    posted = stored.select("tokens").mapInArrow(post, "part long, tokens binary, groups binary")
     listed = posted.groupBy("part").applyInPandas(lists, "lid long, groups array<long>").dropDuplicates(["lid"])
     entries = listed.select("lid", F.explode("groups").alias("gid"))
     # a group of several distinct sets is a list of its own
@@ -411,16 +444,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     wanted = written(near.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rep"), "cid").select("cid", "rep").distinct(), "wanted")
 
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, tokens, at in _sets(batches, size):
-            yield pa.RecordBatch.from_arrays([pa.array(_class_ids(tokens, at).view(np.int64)), pa.array([pack48(tokens[i:j]) for i, j in zip(at[:-1], at[1:])], pa.binary())], ["cid", "tokens"])
-
-    ids = wanted.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
-    sets = checked_join(texts, ids, "doc_id", "left_semi", 24).select("text").mapInArrow(take, "cid long, tokens binary")
+    # one document of each class gives its set; classes whose documents all lack an id are found by class
+    ids = wanted.where("rep is not null").select(F.col("rep").alias("doc_id"), "cid")
+    sets = checked_join(stored, ids, ["doc_id", "cid"], "left_semi", 32).select("cid", "tokens")
     without = wanted.where("rep is null").select("cid")
-    if not without.isEmpty():  # classes that no id finds
-        more = texts.where("doc_id is null").select("text").mapInArrow(take, "cid long, tokens binary")
-        sets = sets.unionByName(checked_join(more, without, "cid", "left_semi", 24))
+    if not without.isEmpty():
+        sets = sets.unionByName(checked_join(stored.where("doc_id is null"), without, "cid", "left_semi", 24).select("cid", "tokens"))
     sets = written(sets.dropDuplicates(["cid"]), "tokens")
     links = written(_verified(near, sets), "links")
     labels = components(links)
@@ -434,14 +463,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = components(links)
     reps = classes.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").select("cid", "rep", F.coalesce("label", F.col("cid")).alias("label"))
     least = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = reps.join(least, "label").select("cid", "component_id")
+    of_class = reps.join(least, "label").select("cid", "component_id", "rep")
     if count:
         links_of = _all_links(links, written(labels, "labels"), sets)
         of_class = of_class.join(links_of, "cid", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
-    out = checked_join(rows.select("doc_id", "n", "cid"), written(of_class, "components"), "cid", "left", 48)
-    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    out = checked_join(rows.select("doc_id", "n", "cid"), written(of_class, "components"), "cid", "left", 56)
+    own = lambda c: F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col(c))
     n_links = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] * count
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("cid").alias("class_id"), *n_links)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own("component_id").alias("component_id"), own("rep").alias("class_id"), F.col("cid").alias("class_hash"), *n_links)
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
@@ -450,10 +479,10 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows are told apart by their id and class: of several classes of a component that have its
     smallest id, one stays. Texts are shingled again only where an id has rows of both kinds.
     """
-    joined = jaccard_components(docs, id_col, text_col, size, count=False).where("doc_id is not null").groupBy("doc_id", "class_id")
+    joined = jaccard_components(docs, id_col, text_col, size, count=False).where("doc_id is not null").groupBy("doc_id", "class_hash")
     joined = written(joined.agg(F.first("component_id").alias("component_id"), F.max("n_shingles").alias("n")), "joined")
-    least = joined.where("n > 0 and doc_id = component_id").groupBy("doc_id").agg(F.min("class_id").alias("least"))
-    stays = F.coalesce((F.col("doc_id") == F.col("component_id")) & ((F.col("n") == 0) | (F.col("class_id") == F.col("least"))), F.lit(False))
+    least = joined.where("n > 0 and doc_id = component_id").groupBy("doc_id").agg(F.min("class_hash").alias("least"))
+    stays = F.coalesce((F.col("doc_id") == F.col("component_id")) & ((F.col("n") == 0) | (F.col("class_hash") == F.col("least"))), F.lit(False))
     rows = joined.join(least, "doc_id", "left").withColumn("stays", stays)
     ids = rows.groupBy("doc_id").agg(F.min("stays").alias("all"), F.max("stays").alias("any"))
     gone = written(ids.where("not all").select(F.col("doc_id").alias(id_col), "any"), "gone")
@@ -467,7 +496,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = [_class_ids(*shingle_sets(pa.array(text[a:a + STEP], pa.string()), size)).view(np.int64) for a in range(0, len(text), STEP)]
         return pd.Series(np.concatenate(found) if found else np.zeros(0, np.int64))
 
-    (name,) = local_names(docs, "class_id")
-    kept = written(rows.where("stays").select(F.col("doc_id").alias(id_col), F.col("class_id").alias(name)).join(both, id_col, "left_semi"), "kept")
+    (name,) = local_names(docs, "class_hash")
+    kept = written(rows.where("stays").select(F.col("doc_id").alias(id_col), F.col("class_hash").alias(name)).join(both, id_col, "left_semi"), "kept")
     mixed = checked_join(docs, both, id_col, "left_semi", 24).withColumn(name, class_of(as_text(F.col(text_col))))
     return out.unionByName(checked_join(mixed, kept, [id_col, name], "left_semi", 32).select(*docs.columns))

@@ -20,7 +20,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join.jaccard_components(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +72,11 @@ x AS (SELECT doc_id, unnest(g) AS g FROM s),
 b AS (SELECT p.doc_id AS i, q.doc_id AS j, count(*) AS shared FROM x p JOIN x q ON p.g = q.g AND p.doc_id < q.doc_id GROUP BY ALL),
 l AS (SELECT i, j FROM b JOIN n a ON a.doc_id = i JOIN n c ON c.doc_id = j WHERE 100 * shared >= 75 * (a.n + c.n - shared)),
 e AS (SELECT i, j FROM l UNION SELECT j, i FROM l),
-r AS (SELECT i, j FROM e UNION SELECT r.i, e.j FROM r JOIN e ON r.j = e.i)
-SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(min(r.j), n.doc_id)) AS component_id FROM n LEFT JOIN r ON r.i = n.doc_id GROUP BY n.doc_id, n.n
+r AS (SELECT i, j FROM e UNION SELECT r.i, e.j FROM r JOIN e ON r.j = e.i),
+c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(g), CASE WHEN len(g) = 0 THEN doc_id END) AS class_id FROM s),
+k AS (SELECT e.i, count(DISTINCT b.class_id) AS n_links FROM e JOIN c a ON a.doc_id = e.i JOIN c b ON b.doc_id = e.j WHERE a.class_id <> b.class_id GROUP BY e.i),
+o AS (SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(min(r.j), n.doc_id)) AS component_id FROM n LEFT JOIN r ON r.i = n.doc_id GROUP BY n.doc_id, n.n)
+SELECT o.doc_id, n_shingles, component_id, class_id, coalesce(n_links, 0) AS n_links FROM o JOIN c USING (doc_id) LEFT JOIN k ON k.i = o.doc_id
 """
 
 EXACT_SQL = r"""
