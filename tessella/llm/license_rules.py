@@ -2,7 +2,7 @@
 
 A rule is (label, regex, keyword, priority). Every match of the regex holds the keyword as the
 start of one of its words. Priority 3 is a named text or tag, 2 a named licence, 1 a hint.
-Families of versions are written once and expanded.
+NAMED, TAGGED and WORDING are written one by one; families of versions once, and expanded.
 """
 
 from __future__ import annotations
@@ -107,6 +107,188 @@ NAMED = [
     ("reference", r"released under (?:an?|the) (?:open source|free software) licen[sc]e", "licen", 1),
 ]
 
+#: Identifiers of the common short-form tag, written out by hand.
+TAGGED = [
+    ("bsd-1-clause", r"bsd 1 clause"), ("bsd-2-clause", r"bsd 2 clause"), ("bsd-2-clause-patent", r"bsd 2 clause patent"), ("bsd-3-clause", r"bsd 3 clause"),
+    ("bsd-3-clause-clear", r"bsd 3 clause clear"), ("bsd-4-clause", r"bsd 4 clause"), ("0bsd", r"0bsd"), ("unlicense", r"unlicense"), ("wtfpl", r"wtfpl"), ("zlib", r"zlib"),
+    ("cc0", r"cc0 1 0"), ("cc-pddc", r"cc pddc"), ("ncsa", r"ncsa"), ("postgresql", r"postgresql"), ("upl-1.0", r"upl 1 0"), ("ms-pl", r"ms pl"), ("ms-rl", r"ms rl"),
+    ("blueoak-1.0.0", r"blueoak 1 0 0"), ("hpnd", r"hpnd"), ("icu", r"icu"), ("ijg", r"ijg"), ("imagemagick", r"imagemagick"), ("json", r"json"), ("libpng", r"libpng(?: 2 0)?"),
+    ("libtiff", r"libtiff"), ("mulan-psl", r"mulanpsl [12] 0"), ("openssl", r"openssl"), ("python", r"python 2 0"), ("psf-2", r"psf 2 0"), ("ruby", r"ruby"), ("sleepycat", r"sleepycat"),
+    ("tcl", r"tcl"), ("vim", r"vim"), ("x11", r"x11"), ("ofl-1.1", r"ofl 1 1"), ("odbl", r"odbl 1 0"), ("odc-by", r"odc by 1 0"), ("pddl", r"pddl 1 0"), ("ftl", r"ftl"), ("curl", r"curl"),
+    ("bzip2", r"bzip2 1 0 6"), ("info-zip", r"info zip"), ("mit-cmu", r"mit cmu"), ("mit-modern", r"mit modern variant"), ("beerware", r"beerware"), ("fair", r"fair"), ("intel", r"intel"),
+    ("miros", r"miros"), ("ntp", r"ntp"), ("simpl", r"simpl 2 0"), ("xnet", r"xnet"), ("artistic", r"artistic 1 0 perl"), ("classpath-exception", r"gpl 2 0 with classpath exception"),
+    ("llvm-exception", r"apache 2 0 with llvm exception"), ("noassertion", r"noassertion"), ("licenseref", r"licenseref \S+"),
+]
+
+#: Sentences of licence texts, notices and terms.
+WORDING = [
+    ("mit", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "substantial", 3),
+    ("mit", r"distribute sublicense and or sell copies of the software", "sublicen", 2),
+    ("mit", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability", "liability", 2),
+    ("mit-style", r"mit style licen[sc]e", "mit", 2),
+    ("mit", r"distributed under (?:the )?mit", "mit", 1),
+    ("mit", r"dual licen[sc]ed under (?:the )?mit", "mit", 2),
+    ("isc", r"provided that the above copyright notice and this permission notice appear in all copies", "permission", 3),
+    ("isc", r"the software is provided as is and the author disclaims all warranties with regard to this software", "disclaim", 2),
+    ("hpnd", r"permission to use copy modify and distribute this software and its documentation for any purpose", "permission", 3),
+    ("bsd", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions", 3),
+    ("bsd", r"redistributions in binary form must reproduce the above copyright notice", "redistributions", 3),
+    ("bsd", r"use of this source code is governed by a bsd style licen[sc]e", "bsd", 3),
+    ("bsd", r"bsd licen[sc]e that can be found in the licen[sc]e file", "bsd", 3),
+    ("bsd-3-clause", r"new bsd licen[sc]e", "bsd", 3),
+    ("bsd-3-clause", r"modified bsd licen[sc]e", "bsd", 3),
+    ("bsd-3-clause", r"may be used to endorse or promote products derived from this software without specific prior written permission", "endorse", 3),
+    ("bsd-2-clause", r"simplified bsd licen[sc]e", "bsd", 3),
+    ("bsd-2-clause", r"freebsd licen[sc]e", "freebsd", 3),
+    ("bsd-4-clause", r"original bsd licen[sc]e", "bsd", 3),
+    ("bsd-4-clause", r"this product includes software developed by", "software", 2),
+    ("apache-2", r"licen[sc]ed under the apache licen[sc]e version 2 0", "apache", 3),
+    ("apache-2", r"unless required by applicable law or agreed to in writing software distributed under the licen[sc]e", "unless", 3),
+    ("apache-2", r"licen[sc]ed to the apache software foundation asf under one or more contributor licen[sc]e agreements", "apache", 3),
+    ("apache-2", r"apache org licen[sc]es licen[sc]e 2 0", "apache", 3),
+    ("apache-2", r"grant of patent licen[sc]e subject to the terms and conditions of this licen[sc]e", "patent", 2),
+    ("apache-1.1", r"this product includes software developed by the apache software foundation", "apache", 3),
+    ("gpl", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e", "gnu", 3),
+    ("gpl", r"you should have received a copy of the gnu general public licen[sc]e", "gnu", 3),
+    ("gpl", r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public licen[sc]e", "gnu", 3),
+    ("gpl", r"everyone is permitted to copy and distribute verbatim copies of this licen[sc]e document", "verbatim", 3),
+    ("gpl", r"gnu org licen[sc]es gpl", "gnu", 2),
+    ("gpl", r"distributed under the gnu gpl", "gnu", 2),
+    ("gpl", r"gnu gpl", "gnu", 1),
+    ("gpl", r"gpl compatible", "gpl", 1),
+    ("classpath-exception", r"classpath exception", "classpath", 2),
+    ("gcc-exception", r"gcc runtime library exception", "gcc", 3),
+    ("linking-exception", r"as a special exception (?:\S+ ){0,12}permission to link", "exception", 2),
+    ("bison-exception", r"bison exception", "bison", 2),
+    ("font-exception", r"gpl font exception", "gpl", 2),
+    ("lgpl", r"this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public licen[sc]e", "gnu", 3),
+    ("lgpl", r"gnu org licen[sc]es lgpl", "gnu", 2),
+    ("agpl", r"gnu org licen[sc]es agpl", "gnu", 2),
+    ("agpl", r"remote network interaction", "remote", 1),
+    ("gfdl", r"with no invariant sections no front cover texts and no back cover texts", "invariant", 3),
+    ("mpl", r"this source code form is subject to the terms of the mozilla public licen[sc]e", "mozilla", 3),
+    ("mpl", r"mozilla org mpl", "mozilla", 2),
+    ("mpl", r"the contents of this file are subject to the mozilla public licen[sc]e", "mozilla", 3),
+    ("epl", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e", "eclipse", 3),
+    ("edl", r"eclipse distribution licen[sc]e", "eclipse", 3),
+    ("epl", r"eclipse org legal epl", "eclipse", 2),
+    ("cddl", r"the contents of this file are subject to the terms of the common development and distribution licen[sc]e", "licen", 3),
+    ("unlicense", r"unlicense org", "unlicen", 3),
+    ("unlicense", r"anyone is free to copy modify publish use compile sell or distribute this software", "anyone", 3),
+    ("public-domain", r"released into the public domain", "domain", 2),
+    ("public-domain", r"placed in the public domain", "domain", 2),
+    ("public-domain", r"dedicated to the public domain", "domain", 2),
+    ("public-domain", r"no copyright is claimed", "copyright", 2),
+    ("public-domain", r"united states government work", "government", 2),
+    ("public-domain", r"gemeinfrei", "gemeinfrei", 2),
+    ("public-domain", r"domaine public", "domaine", 1),
+    ("public-domain", r"dominio p[uú]blico", "dominio", 1),
+    ("cc0", r"to the extent possible under law (?:\S+ ){1,12}waived all copyright", "waived", 3),
+    ("cc0", r"creativecommons org publicdomain zero 1 0", "creativecommons", 3),
+    ("cc-pdm", r"creativecommons org publicdomain mark 1 0", "creativecommons", 3),
+    ("cc", r"this work is licen[sc]ed under a creative commons", "creative", 2),
+    ("cc", r"some rights reserved", "rights", 1),
+    ("cc", r"licence creative commons", "creative", 1),
+    ("cc", r"licencia creative commons", "creative", 1),
+    ("cc", r"creative commons lizenz", "creative", 1),
+    ("cc-sampling", r"creative commons sampling(?: plus)?", "creative", 2),
+    ("cc-devnations", r"creative commons developing nations", "creative", 2),
+    ("cc-by-sa", r"share alike licen[sc]e", "share", 1),
+    ("cc-by-nc", r"attribution non ?commercial", "attribution", 2),
+    ("cc-by-nd", r"attribution no ?derivatives", "attribution", 2),
+    ("zlib", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable", "express", 3),
+    ("zlib", r"altered source versions must be plainly marked as such", "altered", 3),
+    ("bsl-1.0", r"boost org licen[sc]e 1 0", "boost", 3),
+    ("bsl-1.0", r"use modification and distribution are subject to the boost software licen[sc]e", "boost", 3),
+    ("wtfpl", r"you just do what the fuck you want to", "fuck", 3),
+    ("beerware", r"if we meet some day and you think this stuff is worth it you can buy me a beer", "beer", 3),
+    ("ftl", r"freetype (?:project )?licen[sc]e", "freetype", 2),
+    ("ijg", r"this software is based in part on the work of the independent jpeg group", "jpeg", 3),
+    ("curl", r"curl licen[sc]e", "curl", 2),
+    ("info-zip", r"info zip licen[sc]e", "info", 2),
+    ("icu", r"icu licen[sc]e", "icu", 2),
+    ("sleepycat", r"sleepycat (?:public )?licen[sc]e", "sleepycat", 2),
+    ("hpnd", r"historical permission notice and disclaimer", "historical", 3),
+    ("ntp", r"ntp licen[sc]e", "ntp", 2),
+    ("miros", r"miros licen[sc]e", "miros", 2),
+    ("fair", r"usage of the works is permitted provided that this instrument is retained with the works", "usage", 3),
+    ("blueoak-1.0.0", r"blue oak model licen[sc]e", "blue", 3),
+    ("mulan-psl", r"mulan permissive software licen[sc]e", "mulan", 3),
+    ("parity", r"parity public licen[sc]e", "parity", 2),
+    ("prosperity", r"prosperity public licen[sc]e", "prosperity", 2),
+    ("hippocratic", r"hippocratic licen[sc]e", "hippocratic", 2),
+    ("anti-capitalist", r"anti capitalist software licen[sc]e", "capitalist", 3),
+    ("cern-ohl", r"cern open hardware licen[sc]e", "cern", 3),
+    ("cern-ohl", r"cern ohl [psw]", "cern", 2),
+    ("tapr-ohl", r"tapr open hardware licen[sc]e", "tapr", 3),
+    ("solderpad", r"solderpad hardware licen[sc]e", "solderpad", 3),
+    ("ogl-uk", r"open government licen[sc]e(?: v ?\d(?: \d)?)?", "government", 3),
+    ("etalab", r"licence ouverte(?: open licence)?", "ouverte", 2),
+    ("dl-de", r"datenlizenz deutschland", "datenlizenz", 2),
+    ("cdla", r"community data licen[sc]e agreement", "community", 2),
+    ("cdla-permissive", r"community data licen[sc]e agreement permissive", "community", 3),
+    ("cdla-sharing", r"community data licen[sc]e agreement sharing", "community", 3),
+    ("o-uda", r"open use of data agreement", "agreement", 3),
+    ("c-uda", r"computational use of data agreement", "computational", 3),
+    ("openrail", r"responsible ai licen[sc]e", "responsible", 3),
+    ("openrail", r"creativeml open rail", "creativeml", 3),
+    ("ogl-game", r"open game licen[sc]e(?: version 1 0a?)?", "game", 2),
+    ("orc", r"open rpg creative licen[sc]e", "rpg", 3),
+    ("ubuntu-font", r"ubuntu font licen[sc]e", "ubuntu", 3),
+    ("bitstream-vera", r"bitstream vera fonts? (?:copyright|licen[sc]e)", "bitstream", 3),
+    ("ofl", r"scripts sil org ofl", "sil", 3),
+    ("gust-font", r"gust font licen[sc]e", "gust", 3),
+    ("free-art", r"(?:free art licen[sc]e|licence art libre)", "(?:free|licence)", 2),
+    ("ms-lpl", r"microsoft limited public licen[sc]e", "microsoft", 3),
+    ("ms-eula", r"microsoft software licen[sc]e terms", "microsoft", 3),
+    ("oracle-bcl", r"oracle binary code licen[sc]e agreement", "oracle", 3),
+    ("oracle-otn", r"oracle technology network licen[sc]e", "oracle", 3),
+    ("java-research", r"java research licen[sc]e", "java", 3),
+    ("ibm-ipla", r"ibm international program licen[sc]e agreement", "ibm", 3),
+    ("nvidia-eula", r"nvidia software licen[sc]e agreement", "nvidia", 3),
+    ("intel-simplified", r"intel simplified software licen[sc]e", "intel", 3),
+    ("adobe-eula", r"adobe (?:general )?terms of use", "adobe", 2),
+    ("timescale", r"community licen[sc]e agreement", "community", 2),
+    ("confluent", r"confluent community licen[sc]e", "confluent", 3),
+    ("redis-sal", r"source available licen[sc]e", "source", 2),
+    ("fsl", r"functional source licen[sc]e", "functional", 3),
+    ("fair-source", r"fair source licen[sc]e", "fair", 3),
+    ("shareware", r"shareware licen[sc]e", "shareware", 2),
+    ("freeware", r"freeware licen[sc]e", "freeware", 2),
+    ("evaluation", r"evaluation licen[sc]e agreement", "evaluation", 2),
+    ("evaluation", r"for evaluation purposes only", "evaluation", 1),
+    ("non-commercial", r"not for commercial use", "commercial", 1),
+    ("non-commercial", r"personal use only", "personal", 1),
+    ("non-commercial", r"for (?:academic|educational|research) (?:use|purposes) only", "(?:academic|educational|research)", 2),
+    ("no-derivatives", r"no derivative works", "derivative", 1),
+    ("proprietary", r"confidential and proprietary", "proprietary", 2),
+    ("proprietary", r"trade secrets? of", "trade", 1),
+    ("proprietary", r"this document contains proprietary information", "proprietary", 2),
+    ("proprietary", r"no part of this (?:publication|book|document|work) may be reproduced", "reproduced", 2),
+    ("proprietary", r"without the (?:prior )?(?:express )?written (?:permission|consent) of", "written", 1),
+    ("proprietary", r"by installing copying or otherwise using", "installing", 2),
+    ("proprietary", r"you may not reverse engineer decompile or disassemble", "reverse", 2),
+    ("proprietary", r"alle rechte liegen bei", "rechte", 1),
+    ("proprietary", r"reproduction interdite", "reproduction", 1),
+    ("proprietary", r"prohibida (?:la|su) reproducci[oó]n", "prohibida", 1),
+    ("trademark", r"(?:registered )?trademarks? of (?:their|its) respective owners?", "trademark", 1),
+    ("copyright", r"copyright holders?", "copyright", 1),
+    ("copyright", r"urheberrechtlich gesch[uü]tzt", "urheberrechtlich", 1),
+    ("copyright", r"droits d auteur", "droits", 1),
+    ("copyright", r"derechos de autor", "derechos", 1),
+    ("warranty-disclaimer", r"without warrant(?:y|ies) of any kind", "warrant", 1),
+    ("warranty-disclaimer", r"provided as is", "provided", 1),
+    ("cla", r"contributor licen[sc]e agreement", "contributor", 2),
+    ("cla", r"developer certificate of origin", "developer", 2),
+    ("reference", r"see (?:the )?copying(?: file)?", "copying", 1),
+    ("reference", r"licen[sc]e terms (?:apply|below)", "licen", 1),
+    ("reference", r"full licen[sc]e text", "licen", 1),
+    ("reference", r"refer to the accompanying licen[sc]e", "licen", 1),
+    ("reference", r"opensource org licen[sc]es \S+", "opensource", 2),
+    ("reference", r"spdx org licen[sc]es \S+", "spdx", 2),
+    ("reference", r"osi approved(?: licen[sc]e)?", "osi", 1),
+]
+
 #: family: (label, words of the name, keyword, versions)
 VERSIONED = [
     ("gpl", r"(?:gnu )?(?:general public licen[sc]e|gpl)", "(?:general|gpl)", ["1", "2", "3"]),
@@ -146,7 +328,7 @@ BSD_CLAUSES = {"1": "one", "2": "two", "3": "three", "4": "four"}
 
 
 def rules() -> list[tuple[str, str, str, int]]:
-    out = list(NAMED)
+    out = [*NAMED, *WORDING, *((label, rf"spdx licen[sc]e identifier {name}", "spdx", 3) for label, name in TAGGED)]
     for label, name, keyword, versions in VERSIONED:
         for v in versions:
             words = v.replace(".", " ")

@@ -1,10 +1,10 @@
 """Licence scans by ordered signature rules, with DataFrame functions alone.
 
 A text is lower-cased (A-Z) and becomes its words with one blank between them. A keyword
-prefilter says which texts can match at all and which rules are worth running on them; the
-rules come from a table of fixed size that joins on the keyword. Of overlapping detections, one
-that lies within another of no smaller priority goes. Labels of the contract's base phrases
-always stay.
+prefilter says which texts can match at all, once: what passes is stored, and its keywords say
+which rules are worth running on it. Rules are literal patterns, so that none is compiled twice.
+Of overlapping detections, one that lies within another of no smaller priority goes. Labels of
+the contract's base phrases always stay.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_text, local_names
+from ..functions.base import let, running_sums
+from .common import as_text, written
 from .license_rules import rules
 
 #: Base phrases (their words with one blank between) and labels.
@@ -48,34 +49,57 @@ def _rule_table(table) -> tuple[list[tuple[str, str, str, int]], list[str]]:
     return rows, sorted({r[2] for r in rows}, key=lambda k: (-len(k), k))
 
 
+def _trie(words: list[str]) -> str:
+    """A regex that matches what starts with one of the words, a letter at a time."""
+    if "" in words:
+        return ""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(w[1:])
+    parts = [first + _trie(rest) for first, rest in sorted(by.items())]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
+def gate(words: list[str]) -> str:
+    """The prefilter's regex over raw texts: a keyword at the start of a word, in any case."""
+    return rf"(?i)(?<![A-Za-z0-9]){_trie(words)}"
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _matches(rows: list[tuple[str, str, str, int]]) -> str:
+    """SQL: (label, priority, regex) of the rules of a keyword that match norm."""
+    by: dict[str, list[str]] = {}
+    for label, regex, keyword, priority in rows:
+        r = _sql(regex)
+        hit = f"named_struct('label', {_sql(label)}, 'priority', {priority}, 'regex', {r})"
+        by.setdefault(keyword, []).append(f"if(norm rlike {r}, {hit}, null)")
+    # in a lambda, branches are evaluated and not compiled: together they are too long for one method
+    branches = " ".join(f"WHEN {_sql(k)} THEN filter(array({', '.join(hits)}), h -> h is not null)" for k, hits in sorted(by.items()))
+    return f"transform(array(keyword), w -> CASE w {branches} END)[0]"
+
+
 def detections(texts: DataFrame, table=None) -> DataFrame:
     """(keys..., label, priority, start, end): what every rule finds, by words, before suppression.
 
     texts has the column norm (normalised text) and key columns; end is the word after the last.
     """
-    spark, keys = texts.sparkSession, [c for c in texts.columns if c != "norm"]
+    keys = [c for c in texts.columns if c != "norm"]
     rows, words = _rule_table(table or rules())
-    rule_rows = spark.createDataFrame(rows, "label string, regex string, keyword string, priority int")
-    found = texts.withColumn("keyword", F.explode(F.array_distinct(F.regexp_extract_all("norm", F.lit(rf"(?<= )({'|'.join(words)})"), F.lit(1)))))
+    seen = F.array_distinct(F.regexp_extract_all("norm", F.lit(rf"(?<= )({'|'.join(words)})"), F.lit(1)))
     # a longer keyword may start with a shorter one: both count
     longer = {k: [s for s in words if k.startswith(s)] for k in words}
     starts = F.create_map(*[x for k, v in longer.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    found = found.withColumn("keyword", F.explode(F.element_at(starts, F.col("keyword"))))
-    hits = found.join(F.broadcast(rule_rows), "keyword").where(F.expr("norm rlike regex"))
-    hits = hits.withColumn("parts", F.expr("split(norm, regex, -1)")).withColumn("texts", F.expr("regexp_extract_all(norm, regex, 0)"))
+    found = texts.withColumn("keyword", F.explode(F.array_distinct(F.flatten(F.transform(seen, lambda k: F.element_at(starts, k))))))
+    hits = found.select(*keys, "norm", F.inline(F.expr(_matches(rows))))
+    # only rules that match are compiled from here on
+    hits = hits.select(*keys, "label", "priority", F.expr("split(norm, regex, -1)").alias("parts"), F.expr("regexp_extract_all(norm, regex, 0)").alias("texts"))
     # blanks before match k: those of parts 0..k and of matches 0..k-1
-    before = F.transform("parts", lambda p: _blanks(p))
-    inside = F.transform("texts", lambda t: _blanks(t))
-    hits = hits.select(*keys, "label", "priority", before.alias("before"), inside.alias("inside"))
-    step = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-    spans = F.aggregate(
-        F.arrays_zip("before", "inside"), step,
-        lambda s, x: F.struct(
-            (s["at"] + x["before"] + F.coalesce(x["inside"], F.lit(0).cast("long"))).alias("at"),
-            F.when(x["inside"].isNull(), s["spans"]).otherwise(F.array_append(s["spans"], F.struct((s["at"] + x["before"] - 1).alias("start"), (s["at"] + x["before"] + x["inside"]).alias("end")))).alias("spans"),
-        ),
-        lambda s: s["spans"],
-    )
+    both = F.zip_with("texts", "parts", lambda t, p: F.struct(_blanks(p).alias("before"), _blanks(t).alias("inside")))
+    both = F.filter(both, lambda x: x["inside"].isNotNull())
+    spans = let(both, lambda b: F.zip_with(b, running_sums(F.transform(b, lambda x: x["before"] + x["inside"])), lambda x, at: F.struct((at + x["before"] - 1).alias("start"), (at + x["before"] + x["inside"]).alias("end"))))
     return hits.select(*keys, "label", "priority", F.explode(spans).alias("span")).select(*keys, "label", "priority", "span.start", "span.end").distinct()
 
 
@@ -101,13 +125,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table=
 
     Null and empty texts have no words; first_word and last_word are null without a base phrase;
     labels are empty strings where there are none; the score is the best detection's confidence
-    (1 for a base phrase). Repeated rows give repeated results, null ids stay null, other columns
-    are ignored, and an empty table gives an empty result.
+    (1 for a base phrase). Of detections with the same words (ties) all labels of the highest
+    priority stay. Repeated rows give repeated results, each from its own text, null ids stay
+    null, a very long text is scanned as a whole by one task, other columns are ignored, whatever
+    their names, and an empty table gives an empty result.
     """
     _, words = _rule_table(table or rules())
-    gate = rf"(?i)(?<![A-Za-z0-9])(?:{'|'.join(words)})"
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), n_words(text).alias("n_words"), F.when(as_text(text).rlike(gate), normalised(text)).alias("norm"), F.monotonically_increasing_id().alias("rid"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), n_words(text).alias("n_words"), F.when(as_text(text).rlike(gate(words)), normalised(text)).alias("norm"))
+    # every text is gated and normalised once; a row's number is the same wherever it is read
+    rows = written(rows.withColumn("rid", F.monotonically_increasing_id()), "gated")
     places = {p: F.split("norm", rf"(?<= ){p}(?= )", -1) for p in BASE}
     for k, (phrase, label) in enumerate(BASE.items()):
         seen, size = F.col("norm").contains(f" {phrase} "), len(phrase.split())
@@ -118,12 +145,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table=
         ))).drop(f"p{k}")
     base = F.filter(F.array(*[f"b{k}" for k in range(len(BASE))]), lambda b: b.isNotNull())
     rows = rows.withColumn("base", base).drop(*[f"b{k}" for k in range(len(BASE))])
-    # texts that the gate stops get keys of their own, so that they spread over all tasks
-    key = F.coalesce(F.xxhash64(F.when(F.col("norm").isNotNull(), F.col("norm"))), F.lit(0))
-    keyed = rows.withColumn("k1", F.when(F.col("norm").isNotNull(), key).otherwise(F.xxhash64("rid", F.lit(3)))).withColumn("k2", F.when(F.col("norm").isNotNull(), F.xxhash64(F.lit(1), "norm")))
-    found = detections(keyed.where("norm is not null").select("k1", "k2", "norm"), table)
-    kept = unsuppressed(found, ["k1", "k2"]).groupBy("k1", "k2").agg(F.collect_set("label").alias("more"), F.max("priority").alias("best"))
-    out = keyed.drop("norm").join(kept, ["k1", "k2"], "left")
+    found = detections(rows.where("norm is not null").select("rid", "norm"), table)
+    found = written(found, "detections")  # few rows, and the rules' long plan ends here
+    kept = unsuppressed(found, ["rid"]).groupBy("rid").agg(F.collect_set("label").alias("more"), F.max("priority").alias("best"))
+    out = rows.drop("norm").join(kept, "rid", "left")
     labels = F.transform("base", lambda b: b["label"])
     none = F.array().cast("array<string>")
     sure = reduce(lambda acc, x: F.when(F.col("best") == x[0], F.lit(x[1])).otherwise(acc), CONFIDENCE.items(), F.lit(0.0))
