@@ -171,10 +171,20 @@ def http_status_error(status: Column) -> Column:
     )
 
 
-def verify_status(status: Column, on_400: str = "config") -> Column:
-    """What a verification request's status says; on_400 is the class that a provider's 400 has."""
+def verify_status(status: Column, on_400: str = "config", error_code: Column | None = None, unsupported: tuple[str, ...] = ()) -> Column:
+    """What a verification request's status says; on_400 is the class that a provider's 400 has.
+
+    "verified" takes 400 and 422 for an answer, as the request was understood, unless the error
+    code of its body is one of unsupported: then the alias's task is not served ("config").
+    """
+    first = F.when(status.between(200, 299), "verified")
+    if on_400 == "verified":
+        code = F.coalesce(error_code if error_code is not None else F.lit(None).cast("string"), F.lit(""))
+        first = first.when(status.isin(400, 422), F.when(code.isin(*unsupported), "config").otherwise("verified"))
+    else:
+        first = first.when(status == 400, on_400)
     return (
-        F.when(status.between(200, 299), "verified").when(status == 400, on_400).when(status.isin(401, 403), "unauthorized").when(status == 404, "not_found")
+        first.when(status.isin(401, 403), "unauthorized").when(status == 404, "not_found")
         .when(status == 429, "rate_limited").when(status.between(500, 599), "unavailable").otherwise("other")
     )
 
@@ -195,3 +205,47 @@ def classify_error(body: Column) -> Column:
 
 def tokenizer_base(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(url, "/+$", ""), "/v1$", "")
+
+
+def cohere_input(blocks: Column) -> Column:
+    """(content, error) of array<struct<kind,text,image,media_type,url>>: typed parts as JSON; audio is an error."""
+    parts = F.transform(blocks, lambda b: F.when(b["kind"] == "text", _text_part(b)).otherwise(_image_part(b)))
+    audio = F.exists(blocks, lambda b: b["kind"] == "audio")
+    return F.struct(F.when(~audio, F.concat(F.lit('{"content":'), _json_array(parts), F.lit("}"))).alias("content"), F.when(audio, "audio is not supported").alias("error"))
+
+
+def gemini_parts(blocks: Column) -> Column:
+    """JSON parts of the same blocks: text, file_data for a URL, inline_data for bytes (of audio too)."""
+    inline = lambda b: F.concat(F.lit('{"inline_data":{"mime_type":'), _json_string(b["media_type"]), F.lit(',"data":"'), F.regexp_replace(F.base64(b["image"]), "[\r\n]", ""), F.lit('"}}'))
+    linked = lambda b: F.concat(F.lit('{"file_data":{"file_uri":'), _json_string(b["url"]), F.lit("}}"))
+    text = lambda b: F.concat(F.lit('{"text":'), _json_string(b["text"]), F.lit("}"))
+    return _json_array(F.transform(blocks, lambda b: F.when(b["kind"] == "text", text(b)).when(b["url"].isNotNull(), linked(b)).otherwise(inline(b))))
+
+
+def parse_embeddings_leniently(body: Column) -> Column:
+    """Vectors in answer order, without a stated number: items that have none, and elements that are no numbers, are skipped."""
+    data = F.from_json(body, "struct<data:array<struct<embedding:array<variant>>>>")["data"]
+    numbers = lambda e: F.filter(F.transform(e, lambda v: F.when(F.schema_of_variant(v).rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get(v, "$", "double"))), lambda x: x.isNotNull())
+    found = F.transform(F.filter(data, lambda x: x["embedding"].isNotNull()), lambda x: numbers(x["embedding"]))
+    return F.coalesce(found, F.array().cast("array<array<double>>"))
+
+
+def parse_predictions(body: Column) -> Column:
+    """(vectors, tokens, error) of predictions in any of three shapes; tokens is null where none is reported."""
+    whole = "struct<predictions:array<struct<embeddings:variant,values:array<double>>>>"
+    items = F.from_json(body, whole)["predictions"]
+
+    def read(d: Column) -> Column:
+        vector = lambda x: F.coalesce(F.try_variant_get(x["embeddings"], "$.values", "array<double>"), F.try_variant_get(x["embeddings"], "$", "array<double>"), x["values"])
+        vectors, counts = F.transform(d, vector), F.transform(d, lambda x: F.try_variant_get(x["embeddings"], "$.statistics.token_count", "bigint"))
+        error = F.when(d.isNull(), "missing predictions").when(F.exists(vectors, lambda v: v.isNull()), "invalid embedding format")
+        tokens = F.when(F.exists(counts, lambda c: c.isNotNull()), F.aggregate(counts, F.lit(0).cast("long"), lambda s, c: s + F.coalesce(c, F.lit(0).cast("long"))))
+        return F.struct(F.when(error.isNull(), vectors).alias("vectors"), F.when(error.isNull(), tokens).alias("tokens"), error.alias("error"))
+
+    return let(items, read)
+
+
+def dimension_error(vectors: Column, dimensions: int) -> Column:
+    """null if all vectors have the configured width, else which one has not."""
+    bad = F.array_position(F.transform(vectors, lambda v: F.size(v) != dimensions), True)
+    return F.when(bad > 0, F.concat(F.lit("embedding "), (bad - 1).cast("string"), F.lit(" has "), F.size(F.get(vectors, (bad - 1).cast("int"))).cast("string"), F.lit(f" dimensions, not {dimensions}")))

@@ -26,6 +26,7 @@ ABBREVIATIONS = (
     "Mich", "Minn", "Miss", "Mo", "Mont", "Neb", "Nev", "Okla", "Ore", "Pa", "Tenn", "Tex", "Va", "Vt", "Wash", "Wis", "Wyo",
 )
 
+#: Where a sentence may end, how a text is cut to words, what stays whole.
 _BREAK = re.compile(r"""(?<=[.!?])["')\]]*\s+(?=[A-Z0-9"'(\[])""")
 _LAST = re.compile(r"(\S+)\.$")
 _DOTTED = re.compile(r"(?:[A-Za-z]\.)+[A-Za-z]")
@@ -34,8 +35,10 @@ _TOKEN = re.compile(
     r"(?:[A-Za-z]\.){2,}"
     rf"|(?:{'|'.join(sorted(NO_SPLIT + ABBREVIATIONS, key=len, reverse=True))})\.(?=$|[\s,;:)])"
     r"|[A-Z]\.(?=$|\s)"
-    r"|\d+(?:[.,]\d+)*(?:%|st|nd|rd|th)?|\w+(?:[-']\w+)*|\.\.\.|[^\w\s]"
+    r"|\d+(?:[.,]\d+)*(?:%|st|nd|rd|th)?|\w+(?:[-']\w+)*|\.\.\.|[^\w\s]|[\x1c-\x1f]"
 )
+#: Unicode counts four control characters as no white space that Python does.
+_CHUNK = re.compile(r"(?:\S|[\x1c-\x1f])+")
 _CLITIC = re.compile(r"(?is)(.+?)(n't|'s|'re|'ve|'ll|'d|'m)$")
 
 
@@ -65,7 +68,7 @@ def sentences(text: str) -> list[tuple[int, str]]:
 def tokens(text: str) -> list[tuple[int, str]]:
     """(offset in characters, word): addresses whole, then numbers, words, clitics and marks."""
     out = []
-    for chunk in re.finditer(r"\S+", text):
+    for chunk in _CHUNK.finditer(text):
         found = [(chunk.start(), chunk[0])] if _WHOLE.fullmatch(chunk[0]) else None
         for m in [] if found else _TOKEN.finditer(chunk[0]):
             at, tok = chunk.start() + m.start(), m[0]

@@ -195,6 +195,19 @@ def plan_input(tokens: Column, most: int) -> Column:
     return F.when(F.size(tokens) <= most, tokens).otherwise(F.concat(F.slice(tokens, 1, most - 1), F.slice(tokens, -1, 1)))
 
 
+def surface(text: Column, start: Column, end: Column, words: Column) -> Column:
+    """The bytes [start, end) of a text, or the words with blanks between where there are no such bytes."""
+    raw = text.cast("binary")
+    inside = (start >= 0) & (start <= end) & (end <= F.octet_length(text))
+    return F.coalesce(F.when(inside, F.substring(raw, start + 1, end - start).cast("string")), F.array_join(words, " "))
+
+
+def space_class(classes: Column, dictionary: Column, use_space: bool | None = None) -> Column:
+    """(has_space, error): whether a recogniser's last class is a space, by how many classes it has beside blank and dictionary."""
+    has = F.lit(use_space) if use_space is not None else classes - 1 == dictionary + 1
+    return F.struct(has.alias("has_space"), F.when(classes - 1 != dictionary + has.cast("int"), "classes do not fit the dictionary").alias("error"))
+
+
 def safe_name(model: Column) -> Column:
     return F.regexp_replace(F.replace(model, F.lit("/"), F.lit("--")), r"[^\p{L}\p{N}\-_.]", "")
 

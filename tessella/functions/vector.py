@@ -104,6 +104,23 @@ def relative_l2_error(candidate: Column, reference: Column) -> Column:
     return norm(d) / F.greatest(norm(reference), F.lit(1e-6))
 
 
+#: Relative error up to which two runs of a model agree.
+AGREES = 0.2
+
+
+def probe_agrees(candidates: Column, references: Column) -> Column:
+    """Whether the worst row of two arrays of vectors is within AGREES."""
+    worst = F.array_max(F.zip_with(candidates, references, relative_l2_error))
+    return F.coalesce(worst <= AGREES, F.lit(True))
+
+
+def greedy_ids(steps: Column, end_id: int, most: int) -> Column:
+    """Ids of the best class of each step (of rows of scores) up to the end id, which is kept, or most steps."""
+    ids = F.transform(F.slice(steps, 1, most), argmax_first)
+    end = F.array_position(ids, end_id).cast("int")
+    return F.when(end > 0, F.slice(ids, F.lit(1), end)).otherwise(ids)
+
+
 def fact_margin(logit: Column, threshold: Column, offset: Column, relation_offset: Column) -> Column:
     return logit - (threshold + offset) + relation_offset
 

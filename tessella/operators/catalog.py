@@ -31,7 +31,8 @@ _DOC_STYLES = "one of granite-docling, mineru, olmocr"
 OPTION_TYPES = {
     **dict.fromkeys(
         ("max_batch_size", "inter_op_num_threads", "intra_op_num_threads", "max_seq_len", "image_height", "image_width", "max_image_width", "image_size", "dimensions", "top_k",
-         "det_limit_side", "det_min_box_size", "embedding_dimensions", "request_timeout_secs", "max_input_tokens"), "positive"),
+         "det_limit_side", "det_min_box_size", "embedding_dimensions", "request_timeout_secs"), "positive"),
+    "max_input_tokens": "at_least_3",
     **dict.fromkeys(("blank_class", "output_index"), "non_negative"),
     **dict.fromkeys(("normalize", "token_type_ids", "drop_special_tokens", "use_space_char"), "boolean"),
     **dict.fromkeys(("det_bin_threshold", "det_box_score_threshold"), "unit"),
@@ -41,36 +42,35 @@ OPTION_TYPES = {
     "pool": "one of none, mean", "graph_optimization_level": "one of disable, basic, extended, all", "accelerator_check": "one of compare, probe, off", "generation": "one of v1, v7",
 }
 
-_ONNX = "accelerator_check artifact max_batch_size execution_providers graph_optimization_level inter_op_num_threads intra_op_num_threads cache_dir"
-_DIM = "embedding_dimensions"
+_ONNX = ("accelerator_check", "artifact", "max_batch_size", "execution_providers", "graph_optimization_level", "inter_op_num_threads", "intra_op_num_threads", "cache_dir")
 #: Provider: (keys of all tasks, {task: its own keys}).
 PROVIDERS = {
-    "remote/openai": ("api_key_env base_url", {"embed": _DIM, "generate": ""}),
-    "remote/mistral": ("api_key_env", {"embed": _DIM, "generate": ""}),
-    "remote/voyageai": ("api_key_env", {"embed": _DIM, "rerank": ""}),
-    "remote/gemini": ("api_key_env api_version", {"embed": _DIM, "embed_multimodal": "", "generate": ""}),
-    "remote/anthropic": ("api_key_env anthropic_version", {"generate": ""}),
-    "remote/cohere": ("api_key_env input_type", {"embed": _DIM, "embed_multimodal": "", "generate": "", "rerank": ""}),
-    "remote/azure-openai": ("api_key_env resource_name api_version", {"embed": _DIM, "generate": ""}),
-    "remote/vertexai": ("api_token_env project_id location publisher", {"embed": _DIM, "generate": ""}),
-    "remote/llamacpp": ("base_url api_key_env request_timeout_secs", {"embed": f"tokenizer_base_url max_input_tokens {_DIM}", "generate": "", "rerank": "", "document_extract": "style"}),
-    "local/candle": ("cache_dir", {"embed": ""}),
+    "remote/openai": (("api_key_env", "base_url"), {"embed": ("embedding_dimensions",), "generate": ()}),
+    "remote/mistral": (("api_key_env",), {"embed": ("embedding_dimensions",), "generate": ()}),
+    "remote/voyageai": (("api_key_env",), {"embed": ("embedding_dimensions",), "rerank": ()}),
+    "remote/gemini": (("api_key_env", "api_version"), {"embed": ("embedding_dimensions",), "embed_multimodal": (), "generate": ()}),
+    "remote/anthropic": (("api_key_env", "anthropic_version"), {"generate": ()}),
+    "remote/cohere": (("api_key_env", "input_type"), {"embed": ("embedding_dimensions",), "embed_multimodal": (), "generate": (), "rerank": ()}),
+    "remote/azure-openai": (("api_key_env", "resource_name", "api_version"), {"embed": ("embedding_dimensions",), "generate": ()}),
+    "remote/vertexai": (("api_token_env", "project_id", "location", "publisher"), {"embed": ("embedding_dimensions",), "generate": ()}),
+    "remote/llamacpp": (("base_url", "api_key_env", "request_timeout_secs"), {"embed": ("tokenizer_base_url", "max_input_tokens", "embedding_dimensions"), "generate": (), "rerank": (), "document_extract": ("style",)}),
+    "local/candle": (("cache_dir",), {"embed": ()}),
     "local/onnx": (_ONNX, {
-        "embed": "tokenizer_path pooling normalize dimensions max_seq_len token_type_ids output_name",
-        "rerank": "max_seq_len style instruction",
-        "raw": "",
-        "nlp": "tokenizer_path generation onnx_path label_maps_path max_seq_len variant calibration_path label_bank_path",
-        "embed_image": "onnx_path image_size dimensions normalization pool normalize output_name",
-        "ocr": "onnx_path char_dict_path image_height image_width normalization blank_class use_space_char max_image_width output_name det_onnx_path det_model_id det_limit_side det_bin_threshold det_box_score_threshold det_unclip_ratio det_min_box_size det_input_name det_output_name",
-        "document_extract": "style onnx_path tokenizer_path max_seq_len",
-        "embed_sparse": "tokenizer_path sparse_method output_name output_index max_seq_len token_type_ids top_k",
-        "embed_multi_vector": "tokenizer_path dimensions normalize drop_special_tokens output_name output_index max_seq_len token_type_ids",
-        "embed_hybrid": "tokenizer_path max_seq_len token_type_ids top_k",
+        "embed": ("tokenizer_path", "pooling", "normalize", "dimensions", "max_seq_len", "token_type_ids", "output_name"),
+        "rerank": ("max_seq_len", "style", "instruction"),
+        "raw": (),
+        "nlp": ("tokenizer_path", "generation", "onnx_path", "label_maps_path", "max_seq_len", "variant", "calibration_path", "label_bank_path"),
+        "embed_image": ("onnx_path", "image_size", "dimensions", "normalization", "pool", "normalize", "output_name"),
+        "ocr": ("onnx_path", "char_dict_path", "image_height", "image_width", "normalization", "blank_class", "use_space_char", "max_image_width", "output_name", "det_onnx_path", "det_model_id", "det_limit_side", "det_bin_threshold", "det_box_score_threshold", "det_unclip_ratio", "det_min_box_size", "det_input_name", "det_output_name"),
+        "document_extract": ("style", "onnx_path", "tokenizer_path", "max_seq_len"),
+        "embed_sparse": ("tokenizer_path", "sparse_method", "output_name", "output_index", "max_seq_len", "token_type_ids", "top_k"),
+        "embed_multi_vector": ("tokenizer_path", "dimensions", "normalize", "drop_special_tokens", "output_name", "output_index", "max_seq_len", "token_type_ids"),
+        "embed_hybrid": ("tokenizer_path", "max_seq_len", "token_type_ids", "top_k"),
     }),
-    "local/whisper-cpp": ("model_path default_language cache_dir", {"transcribe": ""}),
+    "local/whisper-cpp": (("model_path", "default_language", "cache_dir"), {"transcribe": ()}),
 }
 #: Option sets that need to be there, and that exclude each other.
-REQUIRED = {("remote/llamacpp", "embed"): ("base_url", "max_input_tokens", _DIM), ("remote/llamacpp", None): ("base_url",), ("remote/azure-openai", None): ("resource_name",), ("remote/vertexai", None): ()}
+REQUIRED = {("remote/llamacpp", "embed"): ("base_url", "max_input_tokens", "embedding_dimensions"), ("remote/llamacpp", None): ("base_url",), ("remote/azure-openai", None): ("resource_name",), ("remote/vertexai", None): ()}
 STYLES = {"rerank": "one of cross-encoder, generative", "document_extract": _DOC_STYLES}
 GENERATION_KEYS = {"v1": ("onnx_path", "label_maps_path", "max_seq_len"), "v7": ("variant", "calibration_path", "label_bank_path")}
 
@@ -80,7 +80,7 @@ def option_keys(spark: SparkSession) -> DataFrame:
     rows = []
     for provider, (common, tasks) in PROVIDERS.items():
         for task, own in tasks.items():
-            for key in (*common.split(), *own.split()):
+            for key in (*common, *own):
                 rows.append((provider, task, key, STYLES.get(task, "string") if key == "style" else OPTION_TYPES.get(key, "string")))
     return spark.createDataFrame(rows, "provider_id string, task string, key string, type string")
 
@@ -92,6 +92,11 @@ def catalog_from_text(docs: DataFrame, column: str = "text") -> DataFrame:
     return flat.withColumn("options", F.to_json("options")).withColumn("warmup", F.coalesce("warmup", F.lit("lazy"))).withColumn("required", F.coalesce("required", F.lit(False)))
 
 
+def spec_from_text(docs: DataFrame, column: str = "text") -> DataFrame:
+    """The spec of each row's JSON object, as catalog_from_text() gives those of arrays."""
+    return catalog_from_text(docs.withColumn(column, F.concat(F.lit("["), F.col(column), F.lit("]"))), column)
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Specs of JSON files, each an array; a file that is none is an error."""
     docs = spark.read.text(path, wholetext=True)
@@ -113,7 +118,7 @@ def _type_error(value: Column, kind: Column) -> Column:
     whole = is_number & (number == F.floor(number))
     allowed = F.split(F.regexp_replace(kind, "^one of ", ""), ", ")
     ok = (
-        F.when(kind == "any", F.lit(True)).when(kind == "string", is_text).when(kind == "boolean", t == "BOOLEAN").when(kind == "positive", whole & (number > 0))
+        F.when(kind == "any", F.lit(True)).when(kind == "string", is_text).when(kind == "boolean", t == "BOOLEAN").when(kind == "positive", whole & (number > 0)).when(kind == "at_least_3", whole & (number >= 3))
         .when(kind == "non_negative", whole & (number >= 0)).when(kind == "unit", is_number & number.between(0.0, 1.0)).when(kind == "positive_float", is_number & (number > 0))
         .when(kind == "http_url", is_text & text.rlike("^https?://[^/]+")).otherwise(is_text & F.array_contains(allowed, text))
     )

@@ -105,10 +105,12 @@ def vlm_budget(pages: DataFrame, budget: int | None, doc: str = "doc", page: str
 
 
 def extract_pages(pages: DataFrame, policy: Policy, ocr=None, vlm=None, doc: str = "doc", page: str = "page") -> DataFrame:
-    """(doc, page, tier, text, blocks_text, climbs, confidence, divergence) of every page.
+    """(doc, page, tier, text, climbs, divergence, confidence) of every page.
 
     ocr and vlm map a DataFrame to itself with a column out_text; they are given only the pages
-    of their tier, and a tier without a function is not available. One escalation step a page.
+    of their tier, and a tier without a function is not available. One escalation step a page. A
+    page that the budget keeps from the vlm goes to ocr where the policy allows that, else to its
+    native text, and has a climb that says so; only then does ocr see it.
     """
     if vlm and not ocr:
         raise ValueError("the vlm tier needs the ocr tier below it")
@@ -120,8 +122,8 @@ def extract_pages(pages: DataFrame, policy: Policy, ocr=None, vlm=None, doc: str
     parts = [native.withColumn("tier", F.lit("native"))]
     if ocr:
         parts.append(ocr(planned.where("target = 'ocr'")).withColumn("tier", F.lit("ocr")))
-        if vlm:  # pages that the budget may send back to the second tier need its output, too
-            parts.append(ocr(planned.where("target = 'vlm'")).withColumn("tier", F.lit("vlm")))
+    if vlm:
+        parts.append(planned.where("target = 'vlm'").withColumn("out_text", F.lit(None).cast("string")).withColumn("tier", F.lit("vlm")))
     seen = parts[0]
     for p in parts[1:]:
         seen = seen.unionByName(p)
@@ -130,11 +132,16 @@ def extract_pages(pages: DataFrame, policy: Policy, ocr=None, vlm=None, doc: str
     seen = seen.withColumn("wants_vlm", (F.col("tier") == "vlm") | (F.coalesce(F.col("next_tier"), F.lit("")) == "vlm"))
     seen = vlm_budget(seen, policy.max_vlm_pages if vlm else 0, doc, page)
     to_ocr = (F.col("tier") == "native") & (F.coalesce(F.col("next_tier"), F.lit("")) == "ocr")
-    stay = seen.where(~F.col("granted") & ~to_ocr).withColumn("tier", F.when(F.col("tier") == "vlm", "ocr").otherwise(F.col("tier")))
-    out = stay.withColumn("final_text", F.col("out_text"))
+    out = seen.where(~F.col("granted") & ~to_ocr & (F.col("tier") != "vlm")).withColumn("final_text", F.col("out_text"))
     if ocr:
         out = out.unionByName(ocr(seen.where(to_ocr).drop("out_text")).withColumn("tier", F.lit("ocr")).withColumn("final_text", F.col("out_text")))
     if vlm:
+        low, high = policy.bounds()
+        capped = "ocr" if low <= TIERS.index("ocr") <= high else "native"
+        fall = F.struct(F.lit("vlm").alias("from"), F.lit(capped).alias("to"), F.lit("budget_exhausted").alias("reason"))
+        over = seen.where(~F.col("granted") & (F.col("tier") == "vlm")).withColumn("climbs", F.array_append("climbs", fall)).drop("out_text")
+        over = ocr(over) if capped == "ocr" else over.withColumn("out_text", F.col("native_text"))
+        out = out.unionByName(over.withColumn("tier", F.lit(capped)).withColumn("final_text", F.col("out_text")))
         known = seen.where("granted").withColumnRenamed("out_text", "known")
         run = vlm(known).withColumn("tier", F.lit("vlm")).withColumn("final_text", F.col("out_text"))
         out = out.unionByName(run.drop("known").withColumn("out_text", F.col("final_text")))

@@ -77,13 +77,16 @@ def retry_plan(calls: DataFrame, max_attempts: int = 3, initial_ms: int = 100) -
 
 
 def provider_health(verifications: DataFrame) -> DataFrame:
-    """(provider, verified, failed, health): the worse of what a provider says and what its aliases show."""
+    """(provider, verified, failed, health): the worse of what a provider says (own) and what its aliases show.
+
+    A provider without checks (ok null) keeps its own state; a state that is not known is the worst.
+    """
     rank = {"healthy": 0, "degraded": 1, "unhealthy": 2}
     own = F.create_map(*[x for k, v in rank.items() for x in (F.lit(k), F.lit(v))])
-    g = verifications.groupBy("provider").agg(F.count_if(F.col("ok")).alias("verified"), F.count_if(~F.col("ok")).alias("failed"), F.max(F.coalesce(own[F.col("own")], F.lit(0))).alias("own"))
+    g = verifications.groupBy("provider").agg(F.count_if(F.col("ok")).alias("verified"), F.count_if(~F.col("ok")).alias("failed"), F.max(F.struct(F.when(F.col("own").isNull(), 0).otherwise(F.coalesce(own[F.col("own")], F.lit(2))).alias("rank"), F.coalesce("own", F.lit("healthy")).alias("state"))).alias("own"))
     seen = F.when(F.col("failed") == 0, 0).when(F.col("verified") == 0, 2).otherwise(1)
-    worst = F.greatest(seen, F.col("own"))
-    return g.select("provider", "verified", "failed", F.when(worst == 2, "unhealthy").when(worst == 1, "degraded").otherwise("healthy").alias("health"))
+    health = F.when(F.col("own.rank") >= seen, F.col("own.state")).when(seen == 2, "unhealthy").otherwise("degraded")
+    return g.select("provider", "verified", "failed", health.alias("health"))
 
 
 def call_metrics(calls: DataFrame) -> DataFrame:

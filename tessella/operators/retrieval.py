@@ -111,6 +111,27 @@ def pool(tokens: DataFrame, kind: str) -> DataFrame:
     return per_dim.groupBy("id").agg(vector.alias("vector"))
 
 
+def mean_normalized(tokens: DataFrame, mask_floor: float = 1e-9, norm_floor: float = 1e-12) -> DataFrame:
+    """(id, vector): masked means over max(mask, mask_floor), then over max(norm, norm_floor): a zero row stays zero."""
+    dims = tokens.select("id", F.col("mask").cast("double").alias("m"), F.posexplode("vector").alias("dim", "v"))
+    mean = dims.groupBy("id", "dim").agg((F.sum(F.col("v") * F.col("m")) / F.greatest(F.sum("m"), F.lit(mask_floor))).alias("x"))
+    rows = mean.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("v"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
+    return rows.select("id", F.transform("v", lambda x: x / F.greatest(F.col("n"), F.lit(norm_floor))).alias("vector"))
+
+
+def select_output(outputs: DataFrame, name: str | None = None, index: int | None = None) -> DataFrame:
+    """(id, value, error) of named outputs (id, outputs array<struct<name,value>>): by name, else by place (the first)."""
+    by_name = F.get(F.filter("outputs", lambda o: o["name"] == name), 0) if name is not None else F.get("outputs", F.lit(index or 0))
+    missing = f"no output {name}" if name is not None else f"output_index {index or 0} out of range"
+    return outputs.select("id", by_name["value"].alias("value"), F.when(by_name.isNull(), missing).alias("error"))
+
+
+def ratio_batches(lines: DataFrame, size: int, by: str = "image") -> DataFrame:
+    """lines (width, height, pos) with batch: size lines each, by aspect ratio (ties by pos), so that batches pad little."""
+    order = Window.partitionBy(by).orderBy(F.col("width") / F.greatest(F.col("height"), F.lit(1)), "pos")
+    return lines.withColumn("batch", F.floor((F.row_number().over(order) - 1) / size))
+
+
 def finalize_dense(vectors: DataFrame, normalize: bool = True, dimensions: int | None = None) -> DataFrame:
     """(id, vector, ok): normalised where asked; ok says whether the width is the configured one."""
     v = V.l2_normalize(F.col("vector")) if normalize else V.as_doubles(F.col("vector"))

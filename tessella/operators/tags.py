@@ -28,9 +28,13 @@ def bio_spans(tags: DataFrame) -> DataFrame:
 
 
 def merged_spans(tags: DataFrame) -> DataFrame:
-    """(seq, label, start, end): like bio_spans, but a change of label closes, and a bare tag opens like "B-"."""
-    prefix, label = F.regexp_extract("tag", "^([BI])-", 1), F.regexp_replace("tag", "^[BI]-", "")
-    rows = tags.withColumn("label", label).withColumn("inside", prefix == "I").withColumn("out", F.col("tag") == "O")
+    """(seq, label, start, end): like bio_spans, but a change of label closes, and a bare tag opens like "B-".
+
+    What stands before a tag's first hyphen is its prefix, whatever it is: only "I" goes on.
+    """
+    at = F.instr("tag", "-")
+    label = F.when(at > 0, F.substring(F.col("tag"), at + 1, F.length("tag"))).otherwise(F.col("tag"))
+    rows = tags.withColumn("label", label).withColumn("inside", F.col("tag").startswith("I-")).withColumn("out", F.col("tag").isin("O", ""))
     w = _by("seq")
     joins = F.col("inside") & ~F.coalesce(F.lag("out").over(w), F.lit(True)) & (F.col("label") == F.lag("label").over(w))
     rows = _runs(rows.withColumn("opens", ~F.col("out") & ~F.coalesce(joins, F.lit(False))), F.col("opens")).where(~F.col("out"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -12,11 +10,11 @@ from ..functions import geometry as G
 from ..functions import http_shapes as H
 from ..functions import segment as S
 from ..functions import vector as V
-from ..operators import catalog as C
 from ..operators import reliability as R
 from ..operators import retrieval
 from ..operators import tags as T
 from ..plans.runtime import Runtime
+from .catalogs import RUNTIME
 
 
 def _events(spark, d):
@@ -51,7 +49,7 @@ def retry_plan(spark, d):
 def http_status(spark, d):
     codes = F.array(*map(F.lit, [200, 204, 400, 401, 403, 404, 422, 429, 500, 503]))
     e = _events(spark, d).select("event_id", F.element_at(codes, (F.col("event_id") % 10 + 1).cast("int")).cast("long").alias("status"))
-    return e.select("event_id", "status", H.http_status_error(F.col("status")).alias("error"), H.verify_status(F.col("status"), "unauthorized").alias("verified"))
+    return e.select("event_id", "status", H.http_status_error(F.col("status")).alias("error"), H.verify_status(F.col("status"), "unauthorized").alias("verified"), H.verify_status(F.col("status"), "verified", F.when(F.col("event_id") % 3 == 0, "not_served"), ("not_served",)).alias("answered"))
 
 
 _ERRORS = [
@@ -66,13 +64,14 @@ def error_class(spark, d):
 
 
 def provider_health(spark, d):
-    own = F.when(F.col("user_id") % 7 == 0, "degraded").otherwise("healthy")
-    return R.provider_health(_events(spark, d).where("event_type in ('error', 'purchase')").select(F.col("user_id").alias("provider"), (F.col("event_type") == "purchase").alias("ok"), own.alias("own")))
+    own = F.when(F.col("user_id") % 7 == 0, "degraded").when(F.col("user_id") % 7 == 1, "lost").when(F.col("user_id") % 7 > 2, "healthy")
+    ok = F.when(F.col("event_type").isin("error", "purchase"), F.col("event_type") == "purchase")
+    return R.provider_health(_events(spark, d).select(F.col("user_id").alias("provider"), ok.alias("ok"), own.alias("own")))
 
 
 def call_metrics(spark, d):
     e = _events(spark, d).select((F.col("user_id") % 5).alias("alias"), F.lit("embed").alias("task"), F.lit("local/onnx").alias("provider"), F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"), F.col("value").alias("ms"))
-    return R.call_metrics(e).select("alias", "status", "calls", F.round("total_ms", 2).alias("total_ms"), F.round("mean_ms", 4).alias("mean_ms"))
+    return R.call_metrics(e).select("alias", "status", "calls", F.round("total_ms", 2).alias("total_ms"), F.round("mean_ms", 4).alias("mean_ms"), "p50", "p95")
 
 
 def load_states(spark, d):
@@ -154,7 +153,7 @@ def chat_parse(spark, d):
 
 
 def _tagged(spark, d):
-    """Every word of the benchmark with a tag by its length."""
+    """Every word of the benchmark with a tag by its length; other prefixes than B and I open."""
     t = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("seq"), F.posexplode(F.split("text", " ")).alias("pos", "w"))
     names = F.array(*map(F.lit, ["O", "B-PER", "I-PER", "I-PER", "B-ORG", "I-ORG", "O", "I-ORG"]))
     return t.select("seq", F.col("pos").cast("long").alias("pos"), F.element_at(names, (F.length("w") % 8 + 1).cast("int")).alias("tag"), F.length("w").alias("len"))
@@ -210,7 +209,7 @@ def geometry(spark, d):
     u = G.unclip(x, h, x + 20, h + 8, 1.5, F.lit(64.0), F.lit(64.0))
     s = G.scale_to(x + 0.3, h + 0.3, x + 20.2, h + 8.2, F.lit(0.5), F.lit(2.0), F.lit(100.0), F.lit(40.0))
     r = lambda c, n: F.round(c, 5).alias(n)
-    return p.select("p_partkey", r(u["x0"], "ux0"), r(u["y1"], "uy1"), r(s["x0"], "sx0"), r(s["y1"], "sy1"), G.aspect_width(F.col("p_partkey"), h, 48, 320).cast("long").alias("aw"), G.round_to_32(F.col("p_partkey")).cast("long").alias("r32"))
+    return p.select("p_partkey", *(r(b[k], n + k) for b, n in ((u, "u"), (s, "s")) for k in ("x0", "y0", "x1", "y1")), G.aspect_width(F.col("p_partkey"), h, 48, 320).cast("long").alias("aw"), G.round_to_32(F.col("p_partkey")).cast("long").alias("r32"))
 
 
 def tokenize(spark, d):
@@ -260,53 +259,9 @@ def text_boxes(spark, d):
     return _decoded(spark, d, 8, 8, "array<array<double>>", lambda m: [list(map(float, b)) for b in DEC.reading_order(DEC.text_boxes(m, 0.0, 0.01, 1.5, 1), 1.0)])
 
 
-_CATALOG = [
-    {"alias": "embed/a", "task": "embed", "provider_id": "remote/openai", "model_id": "m", "options": {"embedding_dimensions": 8.0}},
-    {"alias": "embed/b", "task": "embed", "provider_id": "remote/openai", "model_id": "m", "options": {"embedding_dimensions": 8}},
-    {"alias": "embed/c", "task": "embed", "provider_id": "remote/openai", "model_id": "m", "options": {"style": "x"}},
-    {"alias": "embed/d", "task": "rerank", "provider_id": "remote/openai", "model_id": "m"},
-    {"alias": "noslash", "task": "embed", "provider_id": "local/candle", "model_id": "m"},
-    {"alias": "rerank/e", "task": "rerank", "provider_id": "local/onnx", "model_id": "m", "options": {"pooling": "cls", "max_seq_len": 0}},
-    {"alias": "embed/f", "task": "embed", "provider_id": "remote/llamacpp", "model_id": "m", "options": {"base_url": "http://u:p@h:1/v1"}, "timeout": 0},
-    {"alias": "nlp/g", "task": "nlp", "provider_id": "local/onnx", "model_id": "m", "options": {"variant": "v", "onnx_path": "p"}},
-    {"alias": "x/h", "task": "embed", "provider_id": "third/party", "model_id": "m", "options": {"anything": True}},
-    {"alias": "embed/a", "task": "embed", "provider_id": "local/candle", "model_id": "n"},
-]
-
-
-def _catalog(spark):
-    return C.catalog_from_text(spark.createDataFrame([(json.dumps(_CATALOG),)], "text string"))
-
-
-def catalog_from_str(spark, d):
-    return _catalog(spark).select("alias", "task", "provider_id", "model_id", "warmup", "required", F.coalesce("options", F.lit("")).alias("options"))
-
-
-def validate_catalog(spark, d):
-    return C.validate_catalog(_catalog(spark))
-
-
-def shared_models(spark, d):
-    return C.shared_models(_catalog(spark).where("alias like 'embed/%'")).select("runtime_key.provider_id", F.array_join("aliases", ",").alias("aliases"))
-
-
-def option_table(spark, d):
-    return C.option_keys(spark)
-
-
-_RUNTIME = [{"alias": "hybrid/x", "task": "embed_hybrid", "provider_id": "local/deterministic", "model_id": "h"}, {"alias": "rerank/x", "task": "rerank", "provider_id": "local/deterministic", "model_id": "r"}]
-
-
-def hybrid_embed(spark, d):
-    """Three heads of all benchmark texts from one pass of the built-in (synthetic) provider."""
-    r = Runtime.build(_RUNTIME)
-    h = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", r.hybrid("hybrid/x", F.col("text")).alias("h"))
-    return h.select("item_id", F.size("h.dense").alias("dense"), F.size("h.sparse").alias("sparse"), F.size("h.multi_vector").alias("multi_vector"), F.round(V.norm(F.col("h.dense")), 4).alias("norm"))
-
-
 def retrieve_and_rerank(spark, d):
     """Benchmark passages of ids divisible by 100 as queries: dense scores over all documents, the best reranked."""
-    r = Runtime.build([*_RUNTIME, {"alias": "embed/x", "task": "embed", "provider_id": "local/deterministic", "model_id": "e"}])
+    r = Runtime.build([*RUNTIME, {"alias": "embed/x", "task": "embed", "provider_id": "local/deterministic", "model_id": "e"}])
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
     q = spark.read.parquet(f"{d}/benchmark.parquet").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     s = retrieval.dense_scores(q.select("query_id", r.embed("embed/x", F.col("query")).alias("vector")), docs.select("doc_id", r.embed("embed/x", F.col("text")).alias("vector")))
@@ -318,8 +273,7 @@ def retrieve_and_rerank(spark, d):
 QUERIES = {f.__name__: f for f in (
     circuit_breaker, failure_runs, backoff, retry_plan, http_status, error_class, provider_health, call_metrics, load_states, usage_totals, speaker_turns, participants, chat_payload,
     google_payload, anthropic_payload, embeddings_parse, rerank_parse, chat_parse, bio_spans, ner_merge, ctc_collapse, word_index, sentence_of, span_candidates, entity_pairs, type_votes,
-    fact_margins, geometry, tokenize, split_sentences, prose_windows, chat_windows, viterbi, dependency_trees, decode_spans, text_boxes, catalog_from_str, validate_catalog, shared_models,
-    option_table, hybrid_embed, retrieve_and_rerank,
+    fact_margins, geometry, tokenize, split_sentences, prose_windows, chat_windows, viterbi, dependency_trees, decode_spans, text_boxes, retrieve_and_rerank,
 )}
 
 _OK = "NOT (event_type = 'error' OR (event_type = 'view' AND event_id % 2 = 0))"
@@ -343,12 +297,14 @@ SELECT key, event, ok, sum((NOT ok)::INT) OVER (PARTITION BY key, run ORDER BY t
 r AS (SELECT *, error IN ('timeout', 'rate_limited', 'unavailable') AND attempt < 3 AS retry FROM e) SELECT *, CASE WHEN retry THEN (100 * 2 ** (attempt - 1))::BIGINT ELSE 0 END AS wait_ms FROM r""",
     "http_status": """WITH e AS (SELECT event_id, [200, 204, 400, 401, 403, 404, 422, 429, 500, 503][(event_id % 10 + 1)::INT]::BIGINT AS status FROM events)
 SELECT *, CASE WHEN status < 300 THEN NULL WHEN status = 429 THEN 'rate_limited' WHEN status IN (401, 403) THEN 'unauthorized' WHEN status >= 500 THEN 'unavailable' ELSE 'api_error' END AS error,
-CASE WHEN status < 300 THEN 'verified' WHEN status IN (400, 401, 403) THEN 'unauthorized' WHEN status = 404 THEN 'not_found' WHEN status = 429 THEN 'rate_limited' WHEN status >= 500 THEN 'unavailable' ELSE 'other' END AS verified FROM e""",
+CASE WHEN status < 300 THEN 'verified' WHEN status IN (400, 401, 403) THEN 'unauthorized' WHEN status = 404 THEN 'not_found' WHEN status = 429 THEN 'rate_limited' WHEN status >= 500 THEN 'unavailable' ELSE 'other' END AS verified,
+CASE WHEN status < 300 THEN 'verified' WHEN status IN (400, 422) THEN CASE WHEN event_id % 3 = 0 THEN 'config' ELSE 'verified' END WHEN status IN (401, 403) THEN 'unauthorized' WHEN status = 404 THEN 'not_found' WHEN status = 429 THEN 'rate_limited' WHEN status >= 500 THEN 'unavailable' ELSE 'other' END AS answered FROM e""",
     "error_class": f"""WITH e AS (SELECT event_id, {_E}[(event_id % 5 + 1)::INT] AS body FROM events)
 SELECT event_id, ['input_too_large', 'exceeds_context', 'not_supported', 'other', 'exceeds_context'][(event_id % 5 + 1)::INT] AS kind, CASE WHEN json_valid(body) THEN json_extract_string(body, '$.error.message') ELSE body END AS message FROM e""",
-    "provider_health": """WITH g AS (SELECT user_id AS provider, count(*) FILTER (WHERE event_type = 'purchase') AS verified, count(*) FILTER (WHERE event_type = 'error') AS failed FROM events WHERE event_type IN ('error', 'purchase') GROUP BY user_id)
-SELECT *, CASE greatest(CASE WHEN failed = 0 THEN 0 WHEN verified = 0 THEN 2 ELSE 1 END, CASE WHEN provider % 7 = 0 THEN 1 ELSE 0 END) WHEN 2 THEN 'unhealthy' WHEN 1 THEN 'degraded' ELSE 'healthy' END AS health FROM g""",
-    "call_metrics": "SELECT user_id % 5 AS alias, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, count(*) AS calls, round(sum(value), 2) AS total_ms, round(avg(value), 4) AS mean_ms FROM events GROUP BY ALL",
+    "provider_health": """WITH g AS (SELECT user_id AS provider, count(*) FILTER (WHERE event_type = 'purchase') AS verified, count(*) FILTER (WHERE event_type = 'error') AS failed FROM events GROUP BY user_id),
+r AS (SELECT *, CASE WHEN failed = 0 THEN 0 WHEN verified = 0 THEN 2 ELSE 1 END AS seen, CASE provider % 7 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS own FROM g)
+SELECT provider, verified, failed, CASE WHEN own >= seen THEN ['healthy', 'degraded', 'lost'][(own + 1)::INT] WHEN seen = 2 THEN 'unhealthy' ELSE 'degraded' END AS health FROM r""",
+    "call_metrics": "SELECT user_id % 5 AS alias, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, count(*) AS calls, round(sum(value), 2) AS total_ms, round(avg(value), 4) AS mean_ms, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY ALL",
     "load_states": "SELECT user_id AS alias, arg_max(event_type, row(ts, event_id)) AS state FROM events GROUP BY user_id",
     "usage_totals": "SELECT user_id % 11 AS alias, sum(event_id % 97)::BIGINT AS prompt, sum(event_id % 13)::BIGINT AS completion, sum(CASE WHEN event_id % 3 = 0 THEN event_id % 200 ELSE event_id % 97 + event_id % 13 END)::BIGINT AS total FROM events GROUP BY ALL",
     "speaker_turns": """WITH c AS (SELECT conv_id AS seq, turn AS pos, CASE WHEN turn % 3 = 2 THEN 'user' ELSE role END AS speaker FROM conversations), l AS (SELECT *, lag(speaker) OVER (PARTITION BY seq ORDER BY pos) AS was, row_number() OVER (PARTITION BY seq ORDER BY pos) AS i FROM c)
@@ -376,6 +332,7 @@ SELECT seq, coalesce(string_agg(cls::VARCHAR, ',' ORDER BY pos) FILTER (WHERE cl
 m AS (SELECT window_id, head, tail, relation, round(round(max(logit), 6) - 0.12::DOUBLE, 6) AS margin FROM e WHERE head <> tail GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY window_id, head, tail ORDER BY margin DESC, relation) AS rank FROM m) SELECT * FROM r WHERE rank <= 4 AND margin > 0""",
     "geometry": """WITH p AS (SELECT p_partkey, (p_partkey % 40)::DOUBLE AS x, p_size::DOUBLE AS h FROM part), d AS (SELECT *, 20 * 8 * 1.5::DOUBLE / 56 AS d FROM p)
-SELECT p_partkey, round(least(greatest(x - d, 0), 64), 5) AS ux0, round(least(greatest(h + 8 + d, 0), 64), 5) AS uy1, least(greatest(floor((x + 0.3::DOUBLE) / 0.5::DOUBLE), 0), 100) AS sx0, least(greatest(ceil((h + 8.2::DOUBLE) / 2), 0), 40) AS sy1,
+SELECT p_partkey, round(least(greatest(x - d, 0), 64), 5) AS ux0, round(least(greatest(h - d, 0), 64), 5) AS uy0, round(least(greatest(x + 20 + d, 0), 64), 5) AS ux1, round(least(greatest(h + 8 + d, 0), 64), 5) AS uy1,
+least(greatest(floor((x + 0.3::DOUBLE) / 0.5::DOUBLE), 0), 100) AS sx0, least(greatest(floor((h + 0.3::DOUBLE) / 2), 0), 40) AS sy0, least(greatest(ceil((x + 20.2::DOUBLE) / 0.5::DOUBLE), 0), 100) AS sx1, least(greatest(ceil((h + 8.2::DOUBLE) / 2), 0), 40) AS sy1,
 least(greatest(CASE WHEN h > 0 THEN ceil(p_partkey * 48 / h) ELSE 1 END, 1), 320)::BIGINT AS aw, greatest(((p_partkey + 16) // 32) * 32, 32)::BIGINT AS r32 FROM d""",
 }
