@@ -40,5 +40,5 @@ def detector_size(width: Column, height: Column, limit: int) -> Column:
     """(w, h, scale_x, scale_y): the longest side within limit, both sides rounded to 32."""
     longest = F.greatest(width, height)
     ratio = F.when(longest > limit, F.lit(float(limit)) / longest).otherwise(1.0)
-    w, h = round_to_32(F.floor(width * ratio)), round_to_32(F.floor(height * ratio))
+    w, h = round_to_32(F.round(width * ratio)), round_to_32(F.round(height * ratio))
     return F.struct(w.alias("w"), h.alias("h"), (w / width).alias("scale_x"), (h / height).alias("scale_y"))

@@ -241,20 +241,10 @@ def _decoded(spark, d, rows, cols, schema, fn):
     return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", run(_matrix(rows, cols).cast("array<array<double>>")).alias("out"))
 
 
-def viterbi(spark, d):
-    labels = ["O", "B-PER", "I-PER", "B-ORG", "I-ORG"]
-    return _decoded(spark, d, 12, 5, "array<int>", lambda m: DEC.viterbi(m, labels))
-
-
 def dependency_trees(spark, d):
     return _decoded(spark, d, 7, 8, "array<int>", lambda m: DEC.sentence_trees(m, [0] * 7, [True] * 7))
 
 
-def decode_spans(spark, d):
-    spans = [(i, i + k) for i in range(6) for k in (1, 2)]
-    return _decoded(spark, d, 12, 5, "array<array<int>>", lambda m: [list(s) for s in DEC.greedy_spans(m, spans)])
-
-
 def text_boxes(spark, d):
     return _decoded(spark, d, 8, 8, "array<array<double>>", lambda m: [list(map(float, b)) for b in DEC.reading_order(DEC.text_boxes(m, 0.0, 0.01, 1.5, 1), 1.0)])
 
@@ -273,7 +263,7 @@ def retrieve_and_rerank(spark, d):
 QUERIES = {f.__name__: f for f in (
     circuit_breaker, failure_runs, backoff, retry_plan, http_status, error_class, provider_health, call_metrics, load_states, usage_totals, speaker_turns, participants, chat_payload,
     google_payload, anthropic_payload, embeddings_parse, rerank_parse, chat_parse, bio_spans, ner_merge, ctc_collapse, word_index, sentence_of, span_candidates, entity_pairs, type_votes,
-    fact_margins, geometry, tokenize, split_sentences, prose_windows, chat_windows, viterbi, dependency_trees, decode_spans, text_boxes, retrieve_and_rerank,
+    fact_margins, geometry, tokenize, split_sentences, prose_windows, chat_windows, dependency_trees, text_boxes, retrieve_and_rerank,
 )}
 
 _OK = "NOT (event_type = 'error' OR (event_type = 'view' AND event_id % 2 = 0))"
