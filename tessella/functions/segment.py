@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -117,18 +118,26 @@ def split_sentences(text: Column) -> Column:
 def tokenize(text: Column) -> Column:
     """Array of (start, end in UTF-8 bytes, word); null stays null."""
 
-    @F.pandas_udf("array<struct<start:int,end:int,text:string>>")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(t):
-            out, at, size = [], 0, 0
-            for a, w in tokens(t):
-                size += len(t[at:a].encode())
-                end = size + len(w.encode())
-                out.append({"start": size, "end": end, "text": w})
-                at, size = a + len(w), end
-            return out
-
-        return texts.map(lambda t: None if t is None else one(t))
+    @F.arrow_udf("array<struct<start:int,end:int,text:string>>")
+    def run(texts: pa.Array) -> pa.Array:
+        starts, ends, words, offsets = [], [], [], [0]
+        for t in texts.to_pylist():
+            found = tokens(t or "")
+            if t is not None and t.isascii():
+                starts += [a for a, _ in found]
+                ends += [a + len(w) for a, w in found]
+            else:
+                at, size = 0, 0
+                for a, w in found:
+                    size += len(t[at:a].encode())
+                    starts.append(size)
+                    size += len(w.encode())
+                    ends.append(size)
+                    at = a + len(w)
+            words += [w for _, w in found]
+            offsets.append(len(words))
+        flat = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(words, pa.string())], ["start", "end", "text"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, mask=texts.is_null())
 
     return run(text)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -47,19 +48,23 @@ SCHEMA = "key long, event long, ts double, ok boolean, admitted boolean, state s
 def circuit_breaker(calls: DataFrame, threshold: int = 5, wait: float = 10.0) -> DataFrame:
     """calls (key, event, ts in seconds, ok) with admitted, and the state and failures after each.
 
-    One key's calls are one fold, in time order (ties by event).
+    One key's calls are one fold, in time order (ties by event): tasks sort their keys' calls,
+    which may spill, and read them batch by batch with the breaker's state carried along, so that
+    no history is held as a whole.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event"], kind="stable")
-        b, rows = Breaker(threshold, wait), []
-        for ts, ok in zip(pdf["ts"], pdf["ok"]):
-            rows.append((b.call(ts, bool(ok)), b.state, b.failures))
-        out = pdf[["key", "event", "ts", "ok"]].reset_index(drop=True)
-        out[["admitted", "state", "failures"]] = pd.DataFrame(rows, columns=["a", "s", "f"])
-        return out
-
-    return calls.select("key", "event", F.col("ts").cast("double").alias("ts"), "ok").groupBy("key").applyInPandas(fold, SCHEMA)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, b = object(), None
+        for pdf in batches:
+            rows = []
+            for k, ts, ok in zip(pdf["key"], pdf["ts"], pdf["ok"]):
+                if k != key:
+                    key, b = k, Breaker(threshold, wait)
+                rows.append((b.call(ts, bool(ok)), b.state, b.failures))
+            yield pd.concat([pdf, pd.DataFrame(rows, columns=["admitted", "state", "failures"], index=pdf.index)], axis=1)
+
+    rows = calls.select("key", "event", F.col("ts").cast("double").alias("ts"), "ok")
+    return rows.repartition("key").sortWithinPartitions("key", "ts", "event").mapInPandas(fold, SCHEMA)
 
 
 def failure_runs(calls: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ import functools
 import json
 import time
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as FutureTimeout
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -24,6 +26,10 @@ from ..providers import base, deterministic, onnx  # noqa: F401  the bundled one
 RESULTS = {
     "embed": "array<float>", "embed_image": "array<float>", "embed_sparse": "array<struct<term:bigint,weight:float>>", "embed_multi_vector": "array<array<float>>",
     "embed_hybrid": "struct<dense:array<float>,sparse:array<struct<term:bigint,weight:float>>,multi_vector:array<array<float>>>", "generate": "string", "rerank": "double",
+    "embed_audio": "array<float>", "embed_multimodal": "array<float>", "raw": "map<string,array<double>>",
+    "document_extract": "array<struct<reading_order:int,kind:string,content:string>>", "transcribe": "array<struct<start_ms:bigint,end_ms:bigint,text:string>>",
+    "ocr": "struct<text:string,blocks:array<struct<text:string,confidence:double>>>",
+    "nlp": "struct<tokens:array<struct<text:string,start:int,end:int,ner:string,head:int,word:int>>,sentences:array<struct<first:int,last:int,start:int,end:int>>,acts:array<struct<sentence:int,label:string,confidence:double>>,entities:array<struct<label:string,first:int,last:int,start:int,end:int,text:string>>>",
 }
 HEADS = ("dense", "sparse", "multi_vector")
 
@@ -42,6 +48,7 @@ class Spec:
     warmup: str = "lazy"
     required: bool = False
     timeout: int | None = None
+    load_timeout: int | None = 600
     max_attempts: int = 1
     initial_backoff_ms: int = 100
     options: str = "{}"
@@ -49,7 +56,7 @@ class Spec:
     @staticmethod
     def of(raw: dict) -> "Spec":
         retry = raw.get("retry") or {}
-        known = {k: raw[k] for k in ("alias", "task", "provider_id", "model_id", "revision", "warmup", "required", "timeout") if raw.get(k) is not None}
+        known = {k: raw[k] for k in ("alias", "task", "provider_id", "model_id", "revision", "warmup", "required", "timeout", "load_timeout") if raw.get(k) is not None}
         options = json.dumps(normalize_whole_floats(raw.get("options") or {}), sort_keys=True)
         return Spec(**known, max_attempts=retry.get("max_attempts", 1), initial_backoff_ms=retry.get("initial_backoff_ms", 100), options=options)
 
@@ -64,11 +71,29 @@ def _loaded(key: tuple):
     return base.provider(provider_id).load(task, model_id, json.loads(options))
 
 
+class CallTimeout(TimeoutError):
+    kind = "timeout"
+
+
+def _within(seconds: float | None, call):
+    """call(), given up after seconds (its thread ends on its own)."""
+    if not seconds:
+        return call()
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(call).result(seconds)
+    except FutureTimeout:
+        raise CallTimeout(f"no answer within {seconds} s") from None
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+
+
 def _call(spec: Spec, batch: list):
-    """A batch with the spec's retries; an error that no attempt mends is raised."""
+    """A batch with the spec's timeout for each attempt and its retries; an error that no attempt mends is raised."""
+    model = _within(spec.load_timeout, lambda: _loaded(spec.key()))
     for attempt in range(1, spec.max_attempts + 1):
         try:
-            return _loaded(spec.key()).run(batch)
+            return _within(spec.timeout, lambda: model.run(batch))
         except Exception as e:
             if attempt == spec.max_attempts or getattr(e, "kind", None) not in RETRYABLE:
                 raise
@@ -80,6 +105,7 @@ class Runtime:
     """A checked catalog; every method gives columns or DataFrames, and loads nothing on the driver but prefetch()."""
 
     specs: dict[str, Spec] = field(default_factory=dict)
+    verified: dict[str, str | None] = field(default_factory=dict)
 
     @staticmethod
     def build(catalog: list[dict]) -> "Runtime":
@@ -100,7 +126,7 @@ class Runtime:
             raise CatalogError(f"unknown task {spec.task}")
         if spec.provider_id not in PROVIDERS and spec.provider_id not in base.registered():
             raise CatalogError(f"unknown provider {spec.provider_id}")
-        if spec.timeout == 0:
+        if spec.timeout == 0 or spec.load_timeout == 0:
             raise CatalogError("timeout is zero")
         self.specs[spec.alias] = spec
 
@@ -134,6 +160,35 @@ class Runtime:
                 out.append((a, str(e)))
         return out
 
+    def verify(self, *aliases: str, at_once: int = 8, most: float = 30.0) -> list[tuple[str, str | None]]:
+        """(alias, error) of aliases (all without any), in order; so many at once, each within its timeout or most seconds.
+
+        A provider's object that has verify() is asked; loading it is the check of one that has not.
+        """
+
+        def one(alias: str) -> tuple[str, str | None]:
+            try:
+                s = self.spec(alias)
+                _within(min(s.timeout or most, most), lambda: getattr(_loaded(s.key()), "verify", lambda: None)())
+                return alias, None
+            except Exception as e:
+                return alias, getattr(e, "kind", None) or str(e)
+
+        with ThreadPoolExecutor(at_once) as pool:
+            out = list(pool.map(one, aliases or self.aliases()))
+        self.verified.update(out)
+        return out
+
+    def providers(self) -> list[tuple[str, int, str]]:
+        """(provider, aliases, health) by id: "unhealthy" if all verified aliases failed, "degraded" if some did."""
+        out = []
+        for p in sorted({s.provider_id for s in self.specs.values()}):
+            mine = [a for a in self.aliases() if self.specs[a].provider_id == p]
+            checked = [self.verified[a] for a in mine if a in self.verified]
+            failed = sum(e is not None for e in checked)
+            out.append((p, len(mine), "healthy" if not failed else "unhealthy" if failed == len(checked) else "degraded"))
+        return out
+
     def shared(self) -> dict[tuple, list[str]]:
         """Aliases by the model that they share."""
         out: dict[tuple, list[str]] = {}
@@ -180,6 +235,52 @@ class Runtime:
     def generate(self, alias: str, prompt: Column) -> Column:
         return self._udf(self.spec(alias, "generate"), RESULTS["generate"])(prompt)
 
+    def raw(self, alias: str, tensors: Column) -> Column:
+        """Named tensors in, named tensors out: map<string, array<double>>."""
+        s = self.spec(alias, "raw")
+
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for b in batches:
+                made = _call(s, [{k: list(v) for k, v in dict(x).items()} for x in b]) if len(b) else []
+                yield pd.Series(made, dtype=object)
+
+        return F.pandas_udf(run, RESULTS["raw"])(tensors)
+
+    def embed_image(self, alias: str, image: Column) -> Column:
+        return self._udf(self.spec(alias, "embed_image"), RESULTS["embed_image"])(image)
+
+    def embed_audio(self, alias: str, audio: Column) -> Column:
+        return self._udf(self.spec(alias, "embed_audio"), RESULTS["embed_audio"])(audio)
+
+    def embed_multimodal(self, alias: str, blocks: Column) -> Column:
+        """One vector for each array<struct<kind,text,image,media_type,url>>."""
+        return self._udf(self.spec(alias, "embed_multimodal"), RESULTS["embed_multimodal"])(blocks)
+
+    def document_extract(self, alias: str, image: Column) -> Column:
+        """Blocks of a page's image in reading order."""
+        return self._udf(self.spec(alias, "document_extract"), RESULTS["document_extract"])(image)
+
+    def transcribe(self, alias: str, audio: Column) -> Column:
+        """Timed segments of WAV bytes."""
+        return self._udf(self.spec(alias, "transcribe"), RESULTS["transcribe"])(audio)
+
+    def ocr(self, alias: str, image: Column) -> Column:
+        """Text and lines of an image, with their confidence."""
+        return self._structs(self.spec(alias, "ocr"), RESULTS["ocr"], ["text", "blocks"])(image)
+
+    def nlp(self, alias: str, text: Column) -> Column:
+        """Tokens, sentences, acts and entities of each text, windows put together."""
+        return self._structs(self.spec(alias, "nlp"), RESULTS["nlp"], ["tokens", "sentences", "acts", "entities"])(text)
+
+    def _structs(self, spec: Spec, result: str, names: list[str]):
+        """Like _udf() where each result has named parts."""
+
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame(_call(spec, list(b)) if len(b) else [], columns=names)
+
+        return F.pandas_udf(run, result)
+
     def rerank(self, alias: str, query: Column, doc: Column) -> Column:
         """Score of each (query, document) row; order it with retrieval.top_k()."""
         s = self.spec(alias, "rerank")

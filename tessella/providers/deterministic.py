@@ -65,9 +65,82 @@ class Model:
         return [f"echo: {t}" for t in batch]
 
 
+    def _bytes(self, batch):
+        return [unit(hashlib.sha256(bytes(b or b"")).hexdigest(), self.dim).tolist() for b in batch]
+
+    _embed_image = _embed_audio = _bytes
+
+    def _embed_multimodal(self, batch):
+        """Blocks' vectors, summed: words of texts, hashes of bytes and links."""
+        out = []
+        for blocks in batch:
+            v = np.zeros(self.dim)
+            for b in blocks if blocks is not None else ():
+                made = self._embed([b["text"]]) if b["kind"] == "text" else self._bytes([b["image"] if b["image"] is not None else (b["url"] or "").encode()])
+                v += np.array(made[0])
+            n = np.linalg.norm(v)
+            out.append((v / n if n > 1e-12 else v).tolist())
+        return out
+
+    def _raw(self, batch):
+        """Each tensor's elements, doubled."""
+        return [{k: [2.0 * x for x in v] for k, v in tensors.items()} for tensors in batch]
+
+    def _lines(self, image) -> list[str]:
+        """What bytes say as text, line by line: a stand-in for reading pixels."""
+        return [x for x in bytes(image or b"").decode(errors="replace").split("\n") if x.strip()]
+
+    def _document_extract(self, batch):
+        return [[{"reading_order": i, "kind": "text", "content": x} for i, x in enumerate(self._lines(b))] for b in batch]
+
+    def _ocr(self, batch):
+        return [{"text": "\n".join(x), "blocks": [{"text": t, "confidence": 1.0} for t in x]} for x in map(self._lines, batch)]
+
+    def _transcribe(self, batch):
+        """A segment for each begun second of WAV bytes, that says how loud it is."""
+        from ..sources.audio import RATE, read_wav
+
+        out = []
+        for b in batch:
+            x = read_wav(bytes(b)) if b is not None else np.zeros(0)
+            parts = [x[a:a + RATE] for a in range(0, len(x), RATE)]
+            out.append([{"start_ms": 1000 * i, "end_ms": 1000 * i + 1000 * len(p) // RATE, "text": "loud" if np.abs(p).mean() > 0.1 else "quiet"} for i, p in enumerate(parts)])
+        return out
+
+    def _nlp(self, batch):
+        """Windows of prose; a word's head is the one before it in its sentence, capitalised words are entities,
+        and a sentence's act goes by its last mark."""
+        from ..functions import nlp, segment
+
+        out = []
+        for text in batch:
+            raw, windows, results, at, size = text or "", [], [], 0, 0
+            for w in segment.windows([(None, p) for p in raw.split("\n\n") if p.strip()]):
+                placed = []
+                for token in w["tokens"]:
+                    found = raw.find(token, at)
+                    start = size + len(raw[at:found].encode())
+                    size = start + len(token.encode())
+                    placed.append((token, start, size))
+                    at = found + len(token)
+                spans = [(s["start"], s["end"]) for s in w["sentences"]]
+                heads = [0] * len(placed)
+                for a, b in spans:
+                    heads[a + 1:b] = range(a + 1, b)
+                named = [f"{'I' if i and placed[i - 1][0][:1].isupper() else 'B'}-NAME" if t[:1].isupper() else "O" for i, (t, _, _) in enumerate(placed)]
+                acts = [(["question"], [0.9, 0.1]) if placed[b - 1][0] == "?" else ([], [0.1, 0.4]) for _, b in spans]
+                windows.append({"words": placed, "sentences": spans})
+                results.append({"heads": heads, "ner": nlp.bio_runs(named), "acts": acts})
+            flat = nlp.flatten(windows, results)
+            out.append({"tokens": flat["tokens"], "sentences": flat["sentences"], "acts": [{k: a[k] for k in ("sentence", "label", "confidence")} for a in flat["acts"]], "entities": flat["entities"]})
+        return out
+
+
 class Deterministic(Provider):
     provider_id = "local/deterministic"
-    tasks = ("embed", "embed_sparse", "embed_multi_vector", "embed_hybrid", "rerank", "generate")
+    tasks = (
+        "embed", "embed_sparse", "embed_multi_vector", "embed_hybrid", "rerank", "generate", "raw", "embed_image", "embed_audio", "embed_multimodal", "document_extract", "transcribe", "ocr", "nlp",
+    )
 
     def load(self, task: str, model_id: str, options: dict):
         return Model(task, options)

@@ -132,7 +132,7 @@ def embeddings_parse(spark, d):
     a = e.groupBy("call").agg(F.reverse(F.array_sort(F.collect_list(F.struct("i", item.alias("item"))))).alias("items"), F.count(F.lit(1)).cast("int").alias("n"))
     body = F.concat(F.lit('{"data":['), F.array_join(F.transform("items", lambda s: s["item"]), ","), F.lit("]}"))
     p = a.select("call", H.parse_embeddings(body, F.col("n")).alias("p"))
-    return p.select("call", "p.error", F.posexplode_outer("p.vectors").alias("pos", "v")).select("call", "error", F.coalesce("pos", F.lit(-1)).cast("long").alias("pos"), F.coalesce(F.round(F.element_at("v", 1), 5), F.lit(0.0)).alias("first"))
+    return p.select("call", "p.error", F.posexplode_outer("p.vectors").alias("pos", "v")).select("call", "error", F.coalesce("pos", F.lit(-1)).cast("long").alias("pos"), F.coalesce(F.round(V.total(F.col("v")), 4), F.lit(0.0)).alias("total"))
 
 
 def rerank_parse(spark, d):
@@ -303,7 +303,7 @@ SELECT seq, pos, speaker FROM l WHERE i = 1 OR was IS DISTINCT FROM speaker""",
     "chat_payload": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role, text AS content, 64::BIGINT AS max_tokens, false AS stream FROM conversations",
     "google_payload": f"SELECT conv_id, count(*) FILTER (WHERE role <> 'system') AS n, {_SYS}, coalesce(string_agg(CASE role WHEN 'assistant' THEN 'model' ELSE 'user' END, ',' ORDER BY turn) FILTER (WHERE role <> 'system'), '') AS roles FROM conversations GROUP BY conv_id",
     "anthropic_payload": f"SELECT conv_id, 1024::BIGINT AS max_tokens, {_SYS}, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role <> 'system'), '') AS text FROM conversations GROUP BY conv_id",
-    "embeddings_parse": """SELECT vec_id // 4 AS call, NULL::VARCHAR AS error, vec_id % 4 AS pos, round(embedding[1]::DOUBLE, 5) AS first FROM embeddings WHERE (vec_id // 4) % 9 <> 8
+    "embeddings_parse": """SELECT vec_id // 4 AS call, NULL::VARCHAR AS error, vec_id % 4 AS pos, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings WHERE (vec_id // 4) % 9 <> 8
 UNION ALL SELECT DISTINCT vec_id // 4, 'duplicate index', -1::BIGINT, 0::DOUBLE FROM embeddings WHERE (vec_id // 4) % 9 = 8""",
     "rerank_parse": 'SELECT event_id // 5 AS call, row_number() OVER (PARTITION BY event_id // 5 ORDER BY value DESC, event_id) - 1 AS rank, event_id % 5 AS "index", value AS score FROM events',
     "chat_parse": "SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 THEN text ELSE '' END AS text, CASE conv_id % 4 WHEN 2 THEN 'content is no string' WHEN 3 THEN 'missing choices' END AS error, CASE WHEN conv_id % 4 < 3 THEN 7 ELSE -1 END::BIGINT AS total FROM conversations",

@@ -50,8 +50,8 @@ def max_sim_in_row(spark, d):
 
 
 def cosine_scores(spark, d):
-    q = F.broadcast(_queries(spark, d).select("query_id", F.col("vector").alias("q")))
-    return _emb(spark, d).join(q).select("query_id", F.col("vec_id").alias("doc_id"), _r(V.cosine(F.col("q"), F.col("embedding")), "score"))
+    q = _queries(spark, d).select("query_id", F.col("vector").alias("q"))
+    return R._in_blocks(q, 1024, lambda block: _emb(spark, d).join(block).select("query_id", F.col("vec_id").alias("doc_id"), _r(V.cosine(F.col("q"), F.col("embedding")), "score")))
 
 
 def l2_normalize(spark, d):
@@ -85,7 +85,8 @@ def sparse_dot(spark, d):
 def sparse_with_zeros(spark, d):
     q = _weights(spark, d, "benchmark", "item_id", "query_id").where("query_id % 100 = 0")
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id")
-    pairs = docs.join(F.broadcast(spark.read.parquet(f"{d}/benchmark.parquet").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"))))
+    ids = spark.read.parquet(f"{d}/benchmark.parquet").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"))
+    pairs = R._in_blocks(ids, 64, lambda block: docs.join(block))
     return R.with_zero_scores(pairs, R.sparse_scores(q, _weights(spark, d, "documents", "doc_id", "doc_id"))).select("query_id", "doc_id", _r(F.col("score"), "score", 4))
 
 
@@ -107,26 +108,26 @@ def sparse_topk(spark, d):
 
 def sparse_dot_in_row(spark, d):
     v = lambda t, k: _weights(spark, d, t, k, "id").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("v"))
-    q = F.broadcast(v("benchmark", "item_id").where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")))
+    q = v("benchmark", "item_id").where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     docs = v("documents", "doc_id")
-    return docs.join(q).select("query_id", F.col("id").alias("doc_id"), _r(V.sparse_dot(F.col("q"), F.col("v")), "score", 4))
+    return R._in_blocks(q, 1 << 16, lambda block: docs.join(block).select("query_id", F.col("id").alias("doc_id"), _r(V.sparse_dot(F.col("q"), F.col("v")), "score", 4)))
 
 
 def rerank_order(spark, d):
     from pyspark.sql.window import Window
 
-    s = _emb(spark, d).select("label", "vec_id", F.round(F.element_at("embedding", 1).cast("double"), 2).alias("score"))
+    s = _emb(spark, d).select("label", "vec_id", F.round(V.total(F.col("embedding")), 2).alias("score"))
     by = Window.partitionBy("label").orderBy(F.desc("score"), F.asc("vec_id"))
     return s.select("label", "vec_id", "score", F.row_number().over(by).cast("long").alias("rank"))
 
 
 def softmax_confidence(spark, d):
-    v = F.slice("embedding", 1, 8)
+    v = F.slice("embedding", 1, 32)
     e = _emb(spark, d)
     return e.select(
         "vec_id", V.argmax_first(v).cast("long").alias("best"), V.argmax_last(v).cast("long").alias("best_last"),
         _r(V.class_confidence(v, V.argmax_first(v)), "confidence"), _r(F.element_at(V.log_softmax(v), 1), "log_p0"),
-        _r(V.yes_no_score(v[0], v[1]), "yes_no"), _r(V.relative_l2_error(F.slice("embedding", 9, 8), v), "error"),
+        _r(V.yes_no_score(v[0], v[1]), "yes_no"), _r(V.relative_l2_error(F.slice("embedding", 33, 32), v), "error"),
     )
 
 
@@ -178,10 +179,10 @@ SELECT query_id, doc_id, coalesce(score, 0) AS score FROM (SELECT * FROM q, dd)
     "splade_weights": f"WITH {_TERMS} SELECT id AS doc_id, term, round(w, 5) AS weight FROM dw",
     "lexical_weights": f"WITH {_TERMS} SELECT id AS doc_id, term, (n - 1)::DOUBLE AS weight FROM dw WHERE n > 1",
     "sparse_topk": f"WITH {_TERMS} SELECT doc_id, term, weight FROM (SELECT id AS doc_id, term, round(w, 5) AS weight, row_number() OVER (PARTITION BY id ORDER BY round(w, 5) DESC, term) AS r FROM dw) WHERE r <= 8",
-    "rerank_order": "WITH s AS (SELECT label, vec_id, round(embedding[1]::DOUBLE, 2) + 0.0 AS score FROM embeddings) SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s",
-    "softmax_confidence": """WITH t AS (SELECT vec_id, embedding[1:8] AS f, embedding[1:8]::DOUBLE[] AS v, embedding[9:16]::DOUBLE[] AS c FROM embeddings),
+    "rerank_order": "WITH s AS (SELECT label, vec_id, round(list_sum(embedding::DOUBLE[]), 2) + 0.0 AS score FROM embeddings) SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s",
+    "softmax_confidence": """WITH t AS (SELECT vec_id, embedding[1:32] AS f, embedding[1:32]::DOUBLE[] AS v, embedding[33:64]::DOUBLE[] AS c FROM embeddings),
 e AS (SELECT *, list_transform(v, lambda x: exp(x - list_max(v))) AS e FROM t)
-SELECT vec_id, (list_position(f, list_max(f)) - 1)::BIGINT AS best, (8 - list_position(list_reverse(f), list_max(f)))::BIGINT AS best_last, round(CASE WHEN abs(list_sum(v) - 1) < 0.05 AND list_min(v) >= -0.01 AND list_max(v) <= 1.01 THEN list_max(v) ELSE list_max(e) / list_sum(e) END, 5) AS confidence,
+SELECT vec_id, (list_position(f, list_max(f)) - 1)::BIGINT AS best, (32 - list_position(list_reverse(f), list_max(f)))::BIGINT AS best_last, round(CASE WHEN abs(list_sum(v) - 1) < 0.05 AND list_min(v) >= -0.01 AND list_max(v) <= 1.01 THEN list_max(v) ELSE list_max(e) / list_sum(e) END, 5) AS confidence,
 round(v[1] - list_max(v) - ln(list_sum(e)), 5) AS log_p0, round(1 / (1 + exp(v[2] - v[1])), 5) AS yes_no,
 round(sqrt(list_sum(list_transform(list_zip(c, v), lambda p: (p[1] - p[2]) ^ 2))) / greatest(sqrt(list_inner_product(v, v)), 1e-6), 5) AS error FROM e""",
     "dimension_check": "SELECT vec_id AS id, vec_id % 10 <> 0 AS ok, CASE WHEN vec_id % 10 = 0 THEN 60 ELSE 64 END::BIGINT AS width FROM embeddings",

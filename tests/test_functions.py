@@ -55,14 +55,14 @@ def test_confidence_and_backoff(spark):
     assert [one(spark, V.backoff_ms(F.lit(100), F.lit(k))) for k in (0, 1, 2, 4)] == [100, 100, 200, 800]
 
 
-@pytest.mark.parametrize("gen,known,want", [("Total: $1,284.56", "Total: $1,234.56", [1284.56]), ("1,234", "1234", []), ("10,20", "10,21", [1020.0]), ("v1.2.3 build 42/99", "42", [99.0]), ("2.0.", "", [])])
+@pytest.mark.parametrize("gen,known,want", [("Sum 7,310.25 paid", "Sum 7,130.25 paid", [7310.25]), ("8,800", "8800", []), ("55,60", "55,61", [5560.0]), ("v1.2.3 build 42/99", "42", [99.0]), ("2.0.", "", [])])
 def test_numeric_guard(spark, gen, known, want):
     assert one(spark, T.unmatched_numbers(F.lit(gen), F.lit(known))) == want
 
 
 def test_text_measures(spark):
     r = lambda t: one(spark, T.repetition_ratio(F.lit(t)))
-    assert r("the the the the the") > 0.5 and r("a b c d e f g") == 0 and r("a b") == 0 and r("") == 0
+    assert r("dig dig dig dig dig dig") > 0.5 and r("a b c d e f g") == 0 and r("a b") == 0 and r("") == 0
     assert one(spark, T.is_garbled(F.lit("�" * 5 + "abc"))) and not one(spark, T.is_garbled(F.lit("plain\ttext\n")))
     assert one(spark, T.text_coverage(F.lit("x" * 900))) == 0.5
     assert [(p.offset, p.text) for p in one(spark, T.paragraphs(F.lit("é\n\n \n\nb")))] == [(0, "é"), (7, "b")]
@@ -106,11 +106,11 @@ def test_doctags_and_markdown(spark):
 
 
 def test_sentences_and_tokens():
-    assert [s for _, s in segment.sentences("One. Two! Three?")] == ["One.", "Two!", "Three?"]
+    assert [s for _, s in segment.sentences("It rained. Stop! Who goes?")] == ["It rained.", "Stop!", "Who goes?"]
     assert [s for _, s in segment.sentences("v1.2 shipped")] == ["v1.2 shipped"]
-    assert [s for _, s in segment.sentences("Sen. Robert F. Kennedy spoke today.")] == ["Sen. Robert F. Kennedy spoke today."]
-    assert [w for _, w in segment.tokens("3.14 and 1,200 and 50%")] == ["3.14", "and", "1,200", "and", "50%"]
-    assert [w for _, w in segment.tokens("wait... really?!")] == ["wait", "...", "really", "?", "!"]
+    assert [s for _, s in segment.sentences("Prof. Ada K. Brown left early.")] == ["Prof. Ada K. Brown left early."]
+    assert [w for _, w in segment.tokens("2.75 or 6,400 or 12%")] == ["2.75", "or", "6,400", "or", "12%"]
+    assert [w for _, w in segment.tokens("hm... so what?!")] == ["hm", "...", "so", "what", "?", "!"]
     assert segment.windows([]) == [] and len(segment.windows([(None, "a " * 600)])[0]["tokens"]) == 512
 
 

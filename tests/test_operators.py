@@ -91,6 +91,34 @@ def test_breaker_stream(spark, tmp_path):
     assert [(r.admitted, r.state) for r in sorted(spark.read.parquet(str(tmp_path / "out/calls/0")).collect(), key=lambda r: r.event)] == [(True, "closed"), (True, "closed"), (True, "open"), (False, "open")]
 
 
+def test_budget_falls_to_the_tier_that_the_policy_allows(spark):
+    p = spark.createDataFrame([("d", 1, "word " * 300), ("d", 2, "word " * 300), ("d", 3, "")], "doc string, page int, native_text string")
+    seen = []
+
+    def ocr(x):
+        seen.append(x)
+        return x.withColumn("out_text", F.lit("seen"))
+
+    vlm = lambda x: x.withColumn("out_text", F.lit("read"))
+    got = {r.page: r for r in pages.extract_pages(p, pages.Policy("fixed", "native", "vlm", max_vlm_pages=1), ocr, vlm).collect()}
+    assert [got[k].tier for k in (1, 2, 3)] == ["vlm", "native", "native"] and got[2].text == "word " * 300
+    assert [(c["from"], c["to"], c["reason"]) for c in got[2].climbs] == [("vlm", "native", "budget_exhausted")] and got[1].climbs == []
+    got = {r.page: r for r in pages.extract_pages(p, pages.Policy("auto", "vlm", "vlm", max_vlm_pages=2), ocr, vlm).collect()}
+    assert [got[k].tier for k in (1, 2, 3)] == ["vlm", "vlm", "native"]
+    got = {r.page: r for r in pages.extract_pages(p, pages.Policy("auto", "native", "vlm", True, 1), ocr, vlm).collect()}
+    assert [(got[k].tier, got[k].text) for k in (1, 2, 3)] == [("vlm", "read"), ("ocr", "seen"), ("ocr", "seen")]
+
+
+def test_health_of_unknown_states_and_unchecked_providers(spark):
+    v = spark.createDataFrame([("a", None, "degraded"), ("b", True, "lost"), ("c", False, "lost"), ("d", None, None)], "provider string, ok boolean, own string")
+    assert {r.provider: r.health for r in reliability.provider_health(v).collect()} == {"a": "degraded", "b": "lost", "c": "lost", "d": "healthy"}
+
+
+def test_any_prefix_before_the_first_hyphen(spark):
+    t = spark.createDataFrame([(0, i, x) for i, x in enumerate(["E-PER", "I-PER", "I-A-B", "I-A-B", "", "PER"])], "seq long, pos long, tag string")
+    assert sorted((r.start, r.end, r.label) for r in tags.merged_spans(t).collect()) == [(0, 2, "PER"), (2, 4, "A-B"), (5, 6, "PER")]
+
+
 def test_health(spark):
     v = spark.createDataFrame([("a", True, "healthy"), ("a", False, "healthy"), ("b", False, "healthy"), ("c", True, "degraded"), ("d", True, "healthy")], "provider string, ok boolean, own string")
     assert {r.provider: r.health for r in reliability.provider_health(v).collect()} == {"a": "degraded", "b": "unhealthy", "c": "degraded", "d": "healthy"}
