@@ -725,3 +725,91 @@ def test_every_rule_is_found_behind_its_keyword(spark):
     texts = [f"Some words, {t.upper() if k % 2 else t}. And x{t}" for k, t in enumerate(samples)]
     got = sorted(map(tuple, licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()))
     assert got == [(i, *scan_brute(t)) for i, t in enumerate(texts)]
+
+
+def test_predictions_by_brute_force(spark):
+    """Languages and scores of every text from vectors made letter by letter, ties and odd texts included."""
+    rng = np.random.default_rng(2)
+    letters = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "éàüßñop"}
+    text = lambda lang, n: " ".join("".join(rng.choice(list(letters[lang]), rng.integers(1, 7))) for _ in range(n))
+    rows = [(i, text(list(letters)[i % 3], 1 + i % 12), list(letters)[i % 3]) for i in range(90)] + [(90, None, "aa"), (91, "...", "bb"), (92, "A-b  É\n1", None), (93, "", None)]
+    space = language_id.Space()
+
+    def vector(t):
+        c = "".join(x if x.isalpha() else " " for x in (t or "").lower())
+        c = re.sub(" +", " ", f" {c} ")
+        v = np.zeros(language_id.DIM)
+        for g in zip(c, c[1:], c[2:]):
+            v += np.prod([np.roll(space.letter(ord(x)).astype(float), k) for k, x in enumerate(g)], axis=0)
+        n = np.linalg.norm(v)
+        return v / n if n and any(x.isalpha() for x in c) else np.zeros(language_id.DIM)
+
+    known = [(vector(t), lang) for i, t, lang in rows if t is not None and lang and zlib.crc32(str(i).encode()) % 4 != 2]
+    sums = {lang: sum(v for v, x in known if x == lang) for lang in letters}
+    prototypes = {lang: v / np.linalg.norm(v) for lang, v in sums.items()}
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.identify(table, language_id.learn(table)).collect()}
+    for i, t, _ in rows:
+        v = vector(t)
+        cos = {lang: float(v @ p) for lang, p in prototypes.items()}
+        best = max(cos, key=cos.get)
+        assert got[i].lang_pred == (best if v.any() else "und") and abs(got[i].score - (max(0.0, cos[best]) if v.any() else 0)) < 2e-5
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=20))
+def test_plan_is_shortest_pack_first(hist):
+    """Loads of the packs that single pieces make, longest first, each into the pack with the most room that has enough."""
+    loads: list[int] = []
+    for length in sorted((n for n, c in hist.items() for _ in range(c)), reverse=True):
+        k = min(range(len(loads)), key=loads.__getitem__, default=None)
+        if k is None or loads[k] + length > 40:
+            loads.append(length)
+        else:
+            loads[k] += length
+    plan = packing.plan_packs(hist, 40)
+    assert Counter(loads) == Counter({load: sum(n for p, n in plan if sum(p) == load) for load in {sum(p) for p, _ in plan}})
+
+
+def test_very_long_texts(spark):
+    """A text of two megabytes, its copy with a tail, and a short one, through every operator that reads whole texts."""
+    rng = np.random.default_rng(3)
+    words = np.array(["".join(chr(97 + x) for x in rng.integers(0, 26, 5)) for _ in range(5000)])
+    long = " ".join(words[rng.integers(0, 5000, 350_000)])
+    rows = [(1, long, "en", "a"), (2, long + " tail", "en", "b"), (3, "short one", "en", "b")]
+    table = common.written(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    one = {r.doc_id: r for r in suffix_dedup.remove_repeats(table).collect()}
+    assert (one[1].n_removed, one[2].n_removed, one[2].n_spans) == (0, len(long), 1)
+    three = {r.doc_id: r for r in jaccard_join.jaccard_components(table).collect()}
+    assert three[1].n_shingles == len(shingle_set(long)) and three[2].component_id == 1 and (three[1].n_links, three[2].class_id) == (1, 2)
+    assert {r.lang_pred for r in language_id.identify(table, language_id.learn(table)).collect()} == {"en"}
+    assert {r.doc_id: r.payload_bytes for r in media.media_columns(table).collect()}[1] == -(-len(long) // 192) * 192
+    assert {r.id: r.size for r in mixing.mix(table).collect()}[2] == 350_001
+    assert {r.doc_id: r.n_words for r in licenses.scan(table).collect()}[1] == 350_000
+    assert len({r.keep_id for r in exact_dedup.exact_dedup(table).collect()}) == 3
+    enc = tokens.encoder(tokens.default_vocabulary())
+    n = len(enc.encode_ordinary(long))
+    assert max(r.n_tokens for r in token_counts.encoded_lengths(table).where("n_tokens > 9").collect()) >= n
+    assert packing.pack(table).where("doc_id = 1").agg(F.sum("length")).first()[0] == n + 1
+
+
+def test_a_hot_gram_is_dealt_by_windows(spark, monkeypatch):
+    """One line between different neighbours in every document: more stretches than a task takes."""
+    import random
+
+    monkeypatch.setattr(suffix_dedup, "HOT", 5)
+    r = random.Random(6)
+    line = "the one line that all of these documents have in common"
+    near = lambda: "".join(r.choice("xy") for _ in range(r.randrange(3, 30)))
+    rows = [(i, f"{near()} {line} {near()}\n{near()}{line[:30]}{near()}") for i in range(60)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    want = list(removed(rows))
+    assert sorted(map(key, got)) == sorted(map(key, want)) and sum(w[2] for w in want) > 2000
+
+
+def test_pipeline_on_an_empty_table(spark, docs):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    table = docs.select("doc_id", "text", "lang", "source", "n_chars").limit(0).transform(common.written)
+    for name, stage in pipeline.STAGES:
+        before, table = table, common.written(stage(spark, table, ""), "stage")
+        assert table.count() == 0 and (name == "packing" or table.columns == before.columns)
