@@ -6,6 +6,7 @@ worked on alone, so nothing is shuffled.
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pandas as pd
@@ -66,16 +67,32 @@ def sentences(text: str) -> list[tuple[int, str]]:
     return out
 
 
+def _cut(chunk: str) -> tuple[tuple[int, str], ...]:
+    """Words of a text's part without white space; they depend on nothing around it."""
+    if _WHOLE.fullmatch(chunk):
+        return ((0, chunk),)
+    out = []
+    for m in _TOKEN.finditer(chunk):
+        at, tok = m.start(), m[0]
+        tail = _CLITIC.fullmatch(tok)
+        out += [(at, tail[1]), (at + len(tail[1]), tail[2])] if tail else [(at, tok)]
+    return tuple(out)
+
+
+#: Texts repeat their words: the last KNOWN parts of at most SHORT characters are kept.
+KNOWN, SHORT = 1 << 16, 32
+_known = functools.lru_cache(KNOWN)(_cut)
+
+
 def tokens(text: str) -> list[tuple[int, str]]:
     """(offset in characters, word): addresses whole, then numbers, words, clitics and marks."""
     out = []
-    for chunk in _CHUNK.finditer(text):
-        found = [(chunk.start(), chunk[0])] if _WHOLE.fullmatch(chunk[0]) else None
-        for m in [] if found else _TOKEN.finditer(chunk[0]):
-            at, tok = chunk.start() + m.start(), m[0]
-            tail = _CLITIC.fullmatch(tok)
-            out += [(at, tail[1]), (at + len(tail[1]), tail[2])] if tail else [(at, tok)]
-        out += found or []
+    for m in _CHUNK.finditer(text):
+        at, chunk = m.start(), m[0]
+        if chunk.isalpha():
+            out.append((at, chunk))
+        else:
+            out += [(at + a, w) for a, w in (_known(chunk) if len(chunk) <= SHORT else _cut(chunk))]
     return out
 
 
@@ -105,12 +122,24 @@ def windows(units: list[tuple[str | None, str]], most: int = WINDOW_WORDS) -> li
 WINDOW = "struct<window:int,tokens:array<string>,sentences:array<struct<start:int,end:int,unit:int,speaker:string>>>"
 
 
+def in_bytes(text: str, parts: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """Ascending (offset in characters, part) of a text with offsets in UTF-8 bytes; reads the text once."""
+    if text.isascii():
+        return parts
+    out, at, size = [], 0, 0
+    for a, part in parts:
+        size += len(text[at:a].encode())
+        out.append((size, part))
+        at = a
+    return out
+
+
 def split_sentences(text: Column) -> Column:
     """Array of (offset in UTF-8 bytes, sentence); null stays null."""
 
     @F.pandas_udf("array<struct<offset:int,text:string>>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else [{"offset": len(t[:a].encode()), "text": s} for a, s in sentences(t)])
+        return texts.map(lambda t: None if t is None else [{"offset": a, "text": s} for a, s in in_bytes(t, sentences(t))])
 
     return run(text)
 
