@@ -30,7 +30,6 @@ ABBREVIATIONS = (
 
 #: Where a sentence may end, how a text is cut to words, what stays whole.
 _BREAK = re.compile(r"""(?<=[.!?])["')\]]*\s+(?=[A-Z0-9"'(\[])""")
-_LAST = re.compile(r"(\S+)\.$")
 _DOTTED = re.compile(r"(?:[A-Za-z]\.)+[A-Za-z]")
 _WHOLE = re.compile(r"(?:(?:https?://|www\.)\S+|\S+@\S+\.\w+)")
 _TOKEN = re.compile(
@@ -44,10 +43,14 @@ _CHUNK = re.compile(r"(?:\S|[\x1c-\x1f])+")
 _CLITIC = re.compile(r"(?is)(.+?)(n't|'s|'re|'ve|'ll|'d|'m)$")
 
 
-def _guarded(part: str) -> bool:
-    """Whether a part ends in a title, a month, an initial or a dotted acronym, and so goes on."""
-    last = _LAST.search(part.rstrip("\"')]"))
-    word = last[1].lstrip("\"'([") if last else ""
+def _guarded(text: str, begin: int, end: int) -> bool:
+    """Whether text[begin:end] ends in a title, a month, an initial or a dotted acronym, and so goes on."""
+    if text[end - 1] != ".":
+        return False
+    a = end - 1
+    while a > begin and not text[a - 1].isspace():
+        a -= 1
+    word = text[a:end - 1].lstrip("\"'([")
     return word in NO_SPLIT or (len(word) == 1 and word.isupper()) or bool(_DOTTED.fullmatch(word))
 
 
@@ -55,7 +58,7 @@ def sentences(text: str) -> list[tuple[int, str]]:
     """(offset in characters, sentence), trimmed; closing quotes at a break belong to no sentence."""
     cuts, at = [], 0
     for m in _BREAK.finditer(text):
-        if not _guarded(text[at:m.start()]):
+        if not _guarded(text, at, m.start()):
             cuts.append((at, m.start()))
             at = m.end()
     cuts.append((at, len(text)))

@@ -175,3 +175,8 @@ def test_words_and_offsets_do_not_depend_on_what_is_kept():
         assert segment.tokens(t) == [(m.start() + a, w) for m in segment._CHUNK.finditer(t) for a, w in segment._cut(m[0])]
         found = segment.sentences(t)
         assert segment.in_bytes(t, found) == [(len(t[:a].encode()), part) for a, part in found]
+
+
+def test_sentences_of_a_text_of_initials_take_linear_time():
+    text = "A. " * 200_000 + "End. Next one."
+    assert [len(s) for _, s in segment.sentences(text)] == [600_004, 9]
