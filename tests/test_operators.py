@@ -114,6 +114,21 @@ def test_health_of_unknown_states_and_unchecked_providers(spark):
     assert {r.provider: r.health for r in reliability.provider_health(v).collect()} == {"a": "degraded", "b": "lost", "c": "lost", "d": "healthy"}
 
 
+def test_percentiles_of_calls_are_exact(spark, monkeypatch):
+    """More different times than an approximate percentile tells apart, ties, nulls in times and keys."""
+    monkeypatch.setattr(reliability, "RANGES", 8, raising=False)
+    few = {("b", "ok"): [3.0, 1.0, None, 2.0], (None, "ok"): [5.0], ("b", "error"): [None, None], ("c", "ok"): [7.0] * 39 + [9.0] * 2, ("d", "ok"): [float(i) for i in range(100)]}
+    rows = [(a, "t", None, s, x) for (a, s), xs in few.items() for x in xs]
+    keys = F.lit("a").alias("alias"), F.lit("t").alias("task"), F.lit(None).cast("string").alias("provider"), F.lit("ok").alias("status")
+    many = spark.range(40001).select(*keys, (F.col("id") * 12343 % 40001).cast("double").alias("ms"))
+    got = reliability.call_metrics(many.union(spark.createDataFrame(rows, "alias string, task string, provider string, status string, ms double"))).collect()
+    assert {(r.alias, r.status): (r.calls, r.p50, r.p95) for r in got} == {
+        ("a", "ok"): (40001, 20000.0, 38000.0), ("b", "ok"): (4, 2.0, 3.0), (None, "ok"): (1, 5.0, 5.0), ("b", "error"): (2, None, None),
+        ("c", "ok"): (41, 7.0, 7.0), ("d", "ok"): (100, 49.0, 94.0),
+    }
+    assert reliability.call_metrics(many.limit(0)).count() == 0
+
+
 def test_any_prefix_before_the_first_hyphen(spark):
     t = spark.createDataFrame([(0, i, x) for i, x in enumerate(["E-PER", "I-PER", "I-A-B", "I-A-B", "", "PER"])], "seq long, pos long, tag string")
     assert sorted((r.start, r.end, r.label) for r in tags.merged_spans(t).collect()) == [(0, 2, "PER"), (2, 4, "A-B"), (5, 6, "PER")]
