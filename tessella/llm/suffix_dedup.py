@@ -4,16 +4,16 @@ Every WINDOW-byte string belongs to the anchor gram it holds (see anchors.py). S
 text around equal grams meet in one task, as hashes first: of equal stretches (112 bits of
 hashes) the smallest document keeps its own and the others lose all of theirs; copies within a
 task are settled before the shuffle, and spans of one document merged. Stretches around a gram
-that differ are fetched and sorted by a suffix array (suffix_sort.py), in which equal windows
-stand next to each other and the smallest document of each run is read off. A gram with more
-than HOT different stretches is dealt by its windows, so that no task gets all of them. What is
-to go is merged for each document and cut out of its text.
+that differ are fetched and cut down to the windows that several documents may have; of equal
+ones the smallest document keeps its own again, and what differs is sorted by a suffix array
+(suffix_sort.py), in which equal windows stand next to each other and the smallest document of
+each run is read off. A gram with more than HOT different stretches is dealt by its windows, so
+that no task gets all of them. What is to go is merged for each document and cut out of its text.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .anchors import GRAM, WINDOW, anchors
 from .common import as_text, checked_join, release, shuffle_parts, written
-from .shingles import BITS, MASK, by_part, pack_sorted, runs, text_bytes, unpack_sorted
+from .shingles import BITS, MASK, PIECE, U, _P, _P_INV, _power, by_part, mix, pack48, pack_sorted, runs, text_bytes, unpack48, unpack_sorted
 
 HELD = 1 << 19
 PART_ANCHORS = 1 << 19
@@ -33,6 +33,8 @@ STEP = 2048
 SORTED = 1 << 15
 #: Different stretches of one gram that meet in one task; windows of a gram with more are dealt one by one.
 HOT = 4096
+#: Fetched stretches that are dealt at once.
+FETCHED = 1 << 15
 #: Settled spans of a packed row.
 SETTLED = 1 << 15
 #: Texts that share an id are parts of one document, so many bytes apart.
@@ -125,6 +127,8 @@ def _opened(pdf: pd.DataFrame) -> list[np.ndarray]:
 
 
 FOUND = "doc long, asked boolean, raw binary"
+#: A stretch to fetch; the key's bits from BITS on say whether its gram is hot.
+ASKED = np.dtype([("start", "<i8"), ("key", "<u8"), ("length", "u1"), ("at", "u1")])
 
 
 def _found(doc, asked: bool, *columns) -> pd.DataFrame:
@@ -132,8 +136,18 @@ def _found(doc, asked: bool, *columns) -> pd.DataFrame:
     return pd.DataFrame({"doc": docs, "asked": np.full(len(docs), asked), "raw": pd.Series(raw, dtype=object)})
 
 
+def _requests(doc, *columns) -> pd.DataFrame:
+    order = np.argsort(doc, kind="stable")
+    table = np.empty(len(doc), ASKED)
+    for name, c in zip(ASKED.names, columns):
+        table[name] = c[order]
+    first, n = runs(doc[order])
+    raw = [table[a:a + k].tobytes() for a, k in zip(first, n)]
+    return pd.DataFrame({"doc": doc[order][first], "asked": np.full(len(first), True), "raw": pd.Series(raw, dtype=object)})
+
+
 def _compare(bits: int):
-    """Per document of a part: spans that go (start, end), and asked stretches (start, length, key, at, stretches of that gram)."""
+    """Per document of a part: spans that go (start, end), and asked stretches (ASKED)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         key, whole, doc, start, length, at = _opened(pdf)
@@ -154,36 +168,102 @@ def _compare(bits: int):
         stretches = np.repeat(np.repeat(k_n, k_n), c_n)
         ask = mine & (stretches > 1)
         d, s, e = _maximal(doc[~mine], start[~mine], start[~mine] + length[~mine])
-        out = [_found(d, False, s, e), _found(doc[ask], True, *(x[ask] for x in (start, length, key.astype(np.int64), at, stretches)))]
+        out = [_found(d, False, s, e), _requests(doc[ask], *(x[ask] for x in (start, key | ((stretches > HOT).astype(np.uint64) << U(BITS)), length, at)))]
         return pd.concat([x for x in out if len(x)] or out[:1])
 
     return run
 
 
+def _gathered(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """raw[start:start + length] of all, one behind the other."""
+    out = [raw[:0]]
+    for i in range(0, len(start), STEP):
+        a, n = start[i:i + STEP], length[i:i + STEP]
+        out.append(raw[np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))])
+    return np.concatenate(out)
+
+
+STRETCHES = ["keys", "doc", "start", "length", "at", "raw"]
+
+
+def _packed(part, key, doc, start, length, at, raw) -> pa.RecordBatch:
+    """Stretches with their bytes, one row for each part."""
+    order = np.argsort(part, kind="stable")
+    begin = (np.cumsum(length) - length)[order]
+    part, key, doc, start, length, at = (x[order] for x in (part, key, doc, start, length, at))
+    raw = _gathered(raw, begin, length)
+    ends = np.r_[0, np.cumsum(length)]
+    first, n = runs(part)
+    cols = [[pack48(key[i:j]), _narrow(doc[i:j]), _narrow(start[i:j]), length[i:j].astype(np.uint8).tobytes(), at[i:j].astype(np.uint8).tobytes(), raw[ends[i]:ends[j]].tobytes()] for i, j in zip(first, first + n)]
+    return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int64), pa.int64()), *(pa.array([c[k] for c in cols], pa.binary()) for k in range(6))], ["part", *STRETCHES])
+
+
 def _fetch(bits: int):
     """Asked stretches of each text, with their bytes; those of a hot gram as single windows, dealt by their bytes."""
 
+    def stretches(raw, key, doc, at_text, start, length, at):
+        """Held columns of some stretches; at_text is where they start in raw."""
+        hot = key >> U(BITS) > 0
+        key = key & MASK
+        cold = ~hot
+        yield key[cold] >> U(BITS - bits), key[cold], doc[cold], start[cold], length[cold], at[cold], _gathered(raw, at_text[cold], length[cold])
+        for k in np.flatnonzero(hot).tolist():
+            o = np.arange(length[k] - WINDOW + 1)
+            windows = raw[at_text[k] + o[:, None] + np.arange(WINDOW)]
+            with np.errstate(over="ignore"):
+                h = mix((windows.astype(np.uint64) * _power(_P, WINDOW)[:WINDOW]).sum(axis=1) + key[k])
+            yield h >> U(64 - bits), np.full(len(o), key[k]), np.full(len(o), doc[k]), start[k] + o, np.full(len(o), WINDOW), at[k] - o, windows.ravel()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
-            rows = []
-            for doc, seg, text, asked in zip(*(b.column(k).to_pylist() for k in range(4))):
-                raw = text.encode()
-                for start, length, key, at, stretches in np.frombuffer(b"".join(asked), "<i8").reshape(-1, 5).tolist():
-                    if start >> SEGMENT != seg:
-                        continue
-                    a = start & ((1 << SEGMENT) - 1)
-                    if stretches <= HOT:
-                        rows.append((key >> (BITS - bits), key, doc, start, at, raw[a:a + length]))
-                        continue
-                    for o in range(length - WINDOW + 1):
-                        window = raw[a + o:a + o + WINDOW]
-                        rows.append((zlib.crc32(window, key & 0xFFFFFFFF) % (1 << bits), key, doc, start + o, at - o, window))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [[]] * 6, [pa.int64()] * 5 + [pa.binary()])], ["part", "key", "doc", "start", "at", "raw"])
+            raw, offsets = text_bytes(b.column(2))
+            ids, segs = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            asked = [np.frombuffer(b"".join(x), ASKED) for x in b.column(3).to_pylist()]
+            row = np.repeat(np.arange(len(asked)), [len(x) for x in asked])
+            asked = np.concatenate(asked)
+            here = asked["start"] >> SEGMENT == segs[row]
+            asked, row = asked[here], row[here]
+            for i in range(0, len(asked), FETCHED):
+                x, r = asked[i:i + FETCHED], row[i:i + FETCHED]
+                at_text = offsets[r] + (x["start"] & ((1 << SEGMENT) - 1))
+                for columns in stretches(raw, x["key"], ids[r].astype(np.int64), at_text, x["start"], x["length"].astype(np.int64), x["at"].astype(np.int64)):
+                    held.append(columns)
+                    n += len(columns[0])
+                    if n >= FETCHED:
+                        yield _packed(*(np.concatenate(c) for c in zip(*held)))
+                        held, n = [], 0
+        if n:
+            yield _packed(*(np.concatenate(c) for c in zip(*held)))
         release()
 
     return run
 
 
+def _shared(doc: np.ndarray, length: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, start, end) of runs of windows that stretches of several documents may have: all that do, by a 64-bit hash."""
+    begin, n = np.cumsum(length) - length, length - WINDOW + 1
+    of = np.repeat(np.arange(len(n)), n)
+    offset = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    m = len(raw)
+    with np.errstate(over="ignore"):
+        total = np.zeros(m + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + U(1)) * _power(_P, m)[:m], out=total[1:])
+        at = begin[of] + offset
+        h = (total[at + WINDOW] - total[at]) * _power(_P_INV, m + 1)[at]
+    order = np.argsort(h)
+    first = np.flatnonzero(np.r_[True, np.diff(h[order]) != 0])
+    docs = doc[of[order]]
+    several = np.minimum.reduceat(docs, first) < np.maximum.reduceat(docs, first)
+    shared = np.zeros(len(of), bool)
+    shared[order] = np.repeat(several, np.diff(np.r_[first, len(of)]))
+    of, offset = of[shared], offset[shared]
+    if not len(of):
+        return of, offset, offset
+    new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (offset[1:] != offset[:-1] + 1)])
+    return of[new], offset[new], offset[np.r_[new[1:], len(of)] - 1] + WINDOW
+
+
 def _sorted_windows(keys, docs, ats, raws) -> tuple[np.ndarray, np.ndarray]:
     """(stretch, offset) of windows that a smaller document has too, by one suffix array.
 
@@ -222,10 +302,57 @@ def _sorted_windows(keys, docs, ats, raws) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Spans that go of all asked stretches of a part, gram by gram."""
-    pdf = pdf.sort_values(["key", "doc", "start"], kind="stable")
-    keys, docs, starts, ats, raws = (pdf[c].tolist() for c in ("key", "doc", "start", "at", "raw"))
+    """Spans that go of all asked stretches of a part, by blocks of grams.
+
+    Stretches are first cut down to the windows that another document may have. Of equal ones
+    (by their bytes) the smallest document keeps its own; what differs within a gram is sorted.
+    """
+    key, doc, start, length, at = (np.concatenate([f(x) for x in pdf[c]]) for c, f in (("keys", unpack48), ("doc", _wide), ("start", _wide), ("length", _bytes), ("at", _bytes)))
+    raw = np.frombuffer(b"".join(pdf["raw"]), np.uint8)
+    order = np.lexsort((start, doc, key))
+    begin = (np.cumsum(length) - length)[order]
+    key, doc, start, length, at = (x[order] for x in (key, doc, start, length, at))
+    grams, _ = runs(key)
+    ends = np.cumsum(length)
+    ends = ends[np.r_[grams[1:], len(key)] - 1]  # bytes up to each gram's end
     out = [np.zeros((0, 3), np.int64)]
+    g = 0
+    while g < len(grams):
+        to = max(g + 1, int(np.searchsorted(ends, (ends[g - 1] if g else 0) + PIECE, "right")))
+        a, b = grams[g], grams[to] if to < len(grams) else len(key)
+        out += _settled(key[a:b], doc[a:b], start[a:b], length[a:b], at[a:b], _gathered(raw, begin[a:b], length[a:b]))
+        g = to
+    doc, start, length = np.concatenate(out).T
+    doc, start, end = _maximal(doc, start, start + length)
+    return _found(doc, False, start, end)
+
+
+def _bytes(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, np.uint8).astype(np.int64)
+
+
+def _settled(key, doc, start, length, at, raw) -> list[np.ndarray]:
+    """(doc, start, length) rows that go of stretches in the order of grams and documents."""
+    s, low, high = _shared(doc, length, raw)
+    begin, whole = (np.cumsum(length) - length)[s], raw.tobytes()
+    raws = [whole[i:j] for i, j in zip((begin + low).tolist(), (begin + high).tolist())]
+    keys, docs = key[s].tolist(), doc[s].tolist()
+    starts, ats = (start[s] + low).tolist(), (at[s] - low).tolist()
+    owner: dict[tuple[int, bytes], int] = {}
+    kinds: dict[int, int] = {}
+    gone, left = [], []
+    for i, k in enumerate(zip(keys, raws)):
+        d = owner.get(k)
+        if d is None:
+            owner[k] = docs[i]
+            kinds[k[0]] = kinds.get(k[0], 0) + 1
+        elif docs[i] > d:
+            gone.append((docs[i], starts[i], len(raws[i])))
+            continue
+        left.append(i)
+    left = [i for i in left if kinds[keys[i]] > 1]
+    out = [np.array(gone, np.int64).reshape(-1, 3)]
+    keys, docs, starts, ats, raws = ([x[i] for i in left] for x in (keys, docs, starts, ats, raws))
     a = 0
     while a < len(keys):
         b, size = a, 0
@@ -240,9 +367,7 @@ def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
             last = np.r_[first[1:], len(s)] - 1
             out.append(np.stack([np.array(docs[a:b])[s[first]], np.array(starts[a:b])[s[first]] + offset[first], offset[last] - offset[first] + WINDOW], axis=1))
         a = b
-    doc, start, length = np.concatenate(out).T
-    doc, start, end = _maximal(doc, start, start + length)
-    return _found(doc, False, start, end)
+    return out
 
 
 def _cut(seg: int, text: str, spans: list[bytes] | None) -> tuple[bytes, int, int, int, bytes]:
@@ -286,7 +411,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = written(dealt.groupBy("part").applyInPandas(_compare(bits), FOUND), "found")
     asked = found.where("asked").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("raw").alias("asked"))
     # requests and spans grow with the input: texts are shuffled to them at every size
-    fetched = rows.join(asked.hint("merge"), "doc_id").select("doc_id", "seg", "text", "asked").mapInArrow(_fetch(bits), "part long, key long, doc long, start long, at long, raw binary")
+    fetched = rows.join(asked.hint("merge"), "doc_id").select("doc_id", "seg", "text", "asked").mapInArrow(_fetch(bits), "part long, " + ", ".join(f"{f} binary" for f in STRETCHES))
     more = fetched.groupBy("part").applyInPandas(_resolve, FOUND)
     spans = found.where("not asked").union(more).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("raw").alias("spans"))
     spans = written(spans, "spans")

@@ -6,6 +6,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -793,6 +795,30 @@ def test_very_long_texts(spark):
     assert packing.pack(table).where("doc_id = 1").agg(F.sum("length")).first()[0] == n + 1
 
 
+def test_only_windows_that_documents_share_are_sorted(monkeypatch):
+    """Lines between different neighbours, and two passages that differ at their ends: the sort gets what several documents may have."""
+    import random
+
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcdefghijkl") for _ in range(n))
+    lines, passage = [word(30) for _ in range(20)], word(90)
+    rows = [(i, "".join(f"{word(30)}{x}{word(30)}" for x in lines) + (f"{word(9)}{passage[i % 3:90 - i % 5]}{word(9)}" if i < 9 else "")) for i in range(40)]
+    sizes = []
+    sort = suffix_sort.suffix_array
+    monkeypatch.setattr(suffix_sort, "suffix_array", lambda x: sizes.append(len(x)) or sort(x))
+    ids, segs, texts = pa.array([i for i, _ in rows], pa.int64()), pa.array([0] * len(rows), pa.int64()), pa.array([t for _, t in rows])
+    frame = lambda batches: pa.Table.from_batches(list(batches)).to_pandas()
+    dealt = frame(suffix_dedup._dealt(4)([pa.record_batch([ids, segs, texts], ["doc_id", "seg", "text"])]))
+    found = pd.concat([suffix_dedup._compare(4)(g) for _, g in dealt.groupby("part")])
+    asked = found[found["asked"]].groupby("doc")["raw"].agg(list)
+    batch = pa.record_batch([ids, segs, texts, pa.array([asked.get(i, []) for i, _ in rows], pa.list_(pa.binary()))], ["doc_id", "seg", "text", "asked"])
+    more = pd.concat([suffix_dedup._resolve(g) for _, g in frame(suffix_dedup._fetch(4)([batch])).groupby("part")])
+    spans = pd.concat([found[~found["asked"].astype(bool)], more]).groupby("doc")["raw"].agg(list)
+    got = [suffix_dedup._cut(0, t, spans.get(i)) for i, t in rows]
+    assert [(len(t), n, k, hashlib.sha256(left).hexdigest()) for (_, t), (left, _, n, k, _) in zip(rows, got)] == [w[1:] for w in removed(rows)]
+    assert 0 < sum(sizes) < 2000 and sum(n for _, _, n, _, _ in got) > 500
+
+
 def test_a_hot_gram_is_dealt_by_windows(spark, monkeypatch):
     """One line between different neighbours in every document: more stretches than a task takes."""
     import random
